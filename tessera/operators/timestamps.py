@@ -63,34 +63,38 @@ def known_zones(spark: SparkSession) -> list[str]:
     return sorted(str(x) for x in spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
 
 
-def instant_micros(value: Column, zone: Column, order: Column, zones: list[str]) -> Column:
-    """Microseconds since 1970 of a notation; null for blank values, words and dates or times that do not exist.
-
-    An offset in the value decides, else a zone name or abbreviation in it, else `zone`. A local time that occurs twice
-    means the earlier instant; one that is skipped moves on by the length of the gap. A date alone is 00:00 local time,
-    missing seconds are 0, digits beyond the sixth are cut off. A slashed date with the year last follows `order`
-    (`dmy`, `mdy`); without one it can't be read. 8 digits are a date, 10 seconds, 13 milliseconds. Without any zone
-    a local time can't be read. A null value gives null. Names that aren't among `zones` and offsets beyond 18 hours are no
-    zones.
+def with_instant(rows: DataFrame, value: str, zone: str, order: str) -> DataFrame:
+    """rows with `_micros`, the microseconds since 1970 that `value` denotes in the zone and date order of its row.
+
+    Null for null and blank values, words and dates or times that do not exist. An offset in the value decides, else a
+    zone name or abbreviation in it, else `zone`. A local time that occurs twice means the earlier instant; one that is
+    skipped moves on by the length of the gap. A date alone is 00:00 local time, missing seconds are 0, digits beyond the
+    sixth are cut off. A slashed date with the year last follows `order` (`dmy`, `mdy`); without one it can't be read.
+    8 digits are a date, 10 seconds, 13 milliseconds. Without any zone a local time can't be read. Names that the runtime
+    doesn't know and offsets beyond 18 hours are no zones.
+
+    Each step is a column of its own, so that no expression is evaluated for each of its uses.
     """
-    text = strip(value)
+    text = F.col("_text")
     layout = F.lit(None).cast("string")
     steps = [(text.rlike(n.pattern), F.regexp_replace(text, n.pattern, n.layout)) for n in NOTATIONS]
     steps.append((text.rlike(_DAY), F.regexp_replace(text, _DAY, "$1|$2|$3||||||")))
-    steps += [(text.rlike(SLASHED) & (order == o), F.regexp_replace(text, SLASHED, lay)) for o, lay in SLASHED_LAYOUTS.items()]
+    steps += [(text.rlike(SLASHED) & (F.col(order) == o), F.regexp_replace(text, SLASHED, lay)) for o, lay in SLASHED_LAYOUTS.items()]
     for test, fields in reversed(steps):
         layout = F.when(test, fields).otherwise(layout)
-    # One evaluation of the cascade: the fields are read from a single array.
-    parsed = F.transform(F.array(layout), lambda x: F.split(x, r"\|"))[0]
-    local = F.transform(F.array(parsed), lambda f: _read(f, zone, zones))[0]
-    return (
+    fields = rows.withColumn("_text", strip(F.col(value))).withColumn("_f", F.split(layout, r"\|"))
+    parsed = _read(fields, zone, known_zones(rows.sparkSession))
+    return parsed.withColumn(
+        "_micros",
         F.when(text.rlike(r"^\d{10}$"), F.try_multiply(text.try_cast("bigint"), F.lit(1_000_000)))
         .when(text.rlike(r"^\d{13}$"), F.try_multiply(text.try_cast("bigint"), F.lit(1_000)))
-        .otherwise(local)
-    )
+        .otherwise(F.col("_local")),
+    ).drop("_text", "_f", "_zone", "_local")
 
 
-def _read(f: Column, default_zone: Column, zones: list[str]) -> Column:
+def _read(fields: DataFrame, default_zone: str, zones: list[str]) -> DataFrame:
+    """fields with `_local`, the instant of the layout `_f`."""
+    f = F.col("_f")
     number = lambda k: f[k].try_cast("int")
     month = F.coalesce(number(1), F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(f[1], 1, 3))).cast("int"))
     hour = F.coalesce(number(3), F.lit(0))
@@ -108,15 +112,15 @@ def _read(f: Column, default_zone: Column, zones: list[str]) -> Column:
     # A zone, then one in brackets: the first that is there decides.
     named = F.regexp_extract(f[8], r"^[\[(]?([^\[\]()]+)", 1)
     zone = (
-        F.when(named == "", default_zone)
+        F.when(named == "", F.col(default_zone))
         .when(named.rlike(r"^[+-]\d{2}$"), F.concat(named, F.lit(":00")))
         .when(named.rlike(r"^[+-]\d{4}$"), F.concat(F.substring(named, 1, 3), F.lit(":"), F.substring(named, 4, 2)))
         .when(named.rlike(r"^[+-]") | named.contains("/"), named)
         .otherwise(F.try_element_at(_pairs(ABBREVIATIONS), named))
     )
-    zone = F.when(zone.rlike(_OFFSET) | zone.isin(zones), zone)
-    at = F.try_make_timestamp(number(0), month, number(2), full, minute, whole.cast("decimal(16,6)"), zone)
-    return F.when(sensible & zone.isNotNull(), F.unix_micros(at) + micros)
+    valid = F.when(F.col("_zone").rlike(_OFFSET) | F.col("_zone").isin(zones), F.col("_zone"))
+    at = F.try_make_timestamp(number(0), month, number(2), full, minute, whole.cast("decimal(16,6)"), F.col("_zone"))
+    return fields.withColumn("_zone", zone).withColumn("_zone", valid).withColumn("_local", F.when(sensible & F.col("_zone").isNotNull(), F.unix_micros(at) + micros))
 
 
 def utc_text(micros: Column) -> Column:
@@ -136,5 +140,6 @@ def normalise_timestamps(dates: DataFrame, contexts: DataFrame, fields: dict[str
     rows = dates.select("row_id", F.col("id.c").alias("_c"), F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("value")) for n, c in fields.items()])).alias("x"))
     rows = rows.where(F.col("x.value").isNotNull())
     joined = rows.join(rule, F.col("_c") == F.col("_graph"), "left")
-    read = joined.select("row_id", "x.field", instant_micros(F.col("x.value"), F.col("_rule.tz"), F.col("_rule.date_order"), known_zones(dates.sparkSession)).alias("_micros"))
-    return read.where(F.col("_micros").isNotNull()).select("row_id", "field", utc_text(F.col("_micros")).alias("utc"))
+    read = with_instant(joined.select("row_id", "x.field", "x.value", "_rule.tz", "_rule.date_order"), "value", "tz", "date_order")
+    # A generator drops the values without an instant: a filter would be pushed down and evaluate everything twice.
+    return read.select("row_id", "field", F.explode(F.array_compact(F.array("_micros"))).alias("_micros")).select("row_id", "field", utc_text(F.col("_micros")).alias("utc"))
