@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.functions.text import not_blank_sql
 from tessera.functions.uri import Namespaces
-from tessera.llm import lookalike, terms, tokenize
+from tessera.llm import leakage, lookalike, terms, tokenize
 from tessera.operators.records import current_rows_sql
 from tessera.sources.tables import read
 
@@ -35,6 +36,28 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode(read(spark, d, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d)
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Each leaked item with the number of documents that hold it and its longest passage."""
+    return _leaks(spark, d).groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest"))
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that hold no passage of any item; those with a null doc_id are kept."""
+    return read(spark, d, "documents").join(_leaks(spark, d).select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "lang", "source", "n_chars")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.pairs(*lookalike.classes(read(spark, d, "documents")))
 
@@ -48,7 +71,7 @@ def p9_texts(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(documents, lookalike.classes(documents)[0])
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_terms, p7_ids, p9_found, p9_classes, p9_texts)}
+QUERIES = {f.__name__: f for f in (p6_found, p6_terms, p7_ids, p8_found, p8_passages, p8_items, p8_kept, p9_found, p9_classes, p9_texts)}
 
 _P6 = f"""
 WITH res AS ({current_rows_sql("resources", ["row_id", "deleted_at", "props"])}),
