@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,11 @@ from tessera.functions.text import strip, strip_sql
 MAX_PREFIXES = 10_000
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 @dataclass(frozen=True)
 class Namespaces:
     """Declared prefixes and their URIs."""
@@ -41,20 +47,26 @@ class Namespaces:
 
     def canonical(self, uri: Column) -> Column:
         """Canonical form: no outer white space, known prefix replaced, scheme http, host in lower case, no slash at the end."""
-        full = self.expand(strip(uri))
-        web = r"(?is)^https?://"
-        host = F.lower(F.regexp_extract(full, r"(?is)^https?://([^/]*)", 1))
-        path = F.regexp_replace(full, r"(?is)^https?://[^/]*", "")
-        return F.regexp_replace(F.when(full.rlike(web), F.concat(F.lit("http://"), host, path)).otherwise(full), "/+$", "")
+
+        def normal(full: Column) -> Column:
+            host = F.lower(F.regexp_extract(full, r"(?is)^https?://([^/]*)", 1))
+            path = F.regexp_replace(full, r"(?is)^https?://[^/]*", "")
+            return F.when(full.rlike(r"(?is)^https?://"), F.concat(F.lit("http://"), host, path)).otherwise(full)
+
+        return F.regexp_replace(let(let(strip(uri), self.expand), normal), "/+$", "")
 
     def alias(self, uri: Column) -> Column:
         """The prefixed name of a full URI whose namespace (up to its last / or #) is declared; anything else unchanged."""
         by_uri: dict[str, str] = {}
         for prefix, full in sorted(self.uris.items(), reverse=True):
             by_uri[full] = prefix
-        space = F.regexp_extract(uri, r"(?i)^(.*[/#])[a-z0-9\-_:]+$", 1)
-        found = self._lookup(space, by_uri)
-        return F.when(found.isNotNull(), F.concat(found, F.lit(":"), F.substring(uri, F.length(space) + 1, F.length(uri)))).otherwise(uri)
+
+        def short(full: Column) -> Column:
+            space = F.regexp_extract(full, r"(?i)^(.*[/#])[a-z0-9\-_:]+$", 1)
+            found = self._lookup(space, by_uri)
+            return F.when(found.isNotNull(), F.concat(found, F.lit(":"), F.substring(full, F.length(space) + 1, F.length(full)))).otherwise(full)
+
+        return let(uri, short)
 
     def matcher(self, column: Column, names: list[str]) -> Column:
         """True where column is one of names, prefixed or in full."""
