@@ -431,7 +431,7 @@ def sequence_next(pods):
     return graphs.next_in_sequence(pods["sequences"].triples())
 
 
-@query(f"SELECT r AS s, 'rdf:_' || row_number() OVER (PARTITION BY r ORDER BY n) AS p, part AS o FROM ({_LINES}) WHERE n > 1")
+@query(f"SELECT r AS s, 'rdf:_' || row_number() OVER (PARTITION BY r ORDER BY n, part) AS p, part AS o FROM ({_LINES}) WHERE n > 1")
 def sequence_renumbered(pods):
     t = pods["sequences"].triples().where("p NOT IN ('rdf:_1', 'rdf:type')")
     return graphs.renumber_sequences(t).select("s", "p", "o")
