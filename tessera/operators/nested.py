@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.uri import Namespaces
+from tessera.session import written
 
 #: A step into an array. A member name that begins with [ or \ is written with a \ before it, so none is mistaken for it.
 ITEM = "[]"
@@ -163,8 +164,10 @@ def view_tables(docs: DataFrame, ns: Namespaces) -> dict[str, DataFrame]:
     null for a bare scalar), value. bookmarks: view_id, graph_no, value_no, target_r. impact_index: view_id, entry_no, r, c.
     A single object where an array may stand counts as an array of one. r and target_r are canonical. Values that are
     neither object nor array in `_graphs` or `_impactIndex` are counted in views but give no row; missing parts are null.
+
+    The records are parsed once: their paths and values are written to the shared folder, and all tables read that.
     """
-    flat = flatten(docs, "view_id", "doc")
+    flat = written(flatten(docs, "view_id", "doc"), "nested")
     path = F.col("path")
     step = lambda k: F.get(path, F.lit(k))
     place = lambda k: F.coalesce(F.get("ordinals", F.lit(k)), F.lit(0))

@@ -49,3 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     """df computed once and written to the shared folder, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """df written once as Parquet to the shared folder and read from there: for results that several plans read column by
+    column. The folder lives as long as the shared folder does."""
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
