@@ -189,14 +189,14 @@ class Items:
         self.item_of = self.forward.text_of[self.begins]
         n = len(self.begins)
         first_of = np.flatnonzero(np.append([True], self.item_of[1:] != self.item_of[:-1])) if n else np.zeros(0, np.int64)
-        last = np.append(first_of[1:], n)
+        last = np.append(first_of, n)[1:]
         self.first_word = np.repeat(first_of, last - first_of)
         self.end_word = np.repeat(last, last - first_of)
         letters = self.forward.letters
         stops = np.flatnonzero(letters == 0)
         item_end = stops[np.searchsorted(stops, self.begins)] if n else np.zeros(0, np.int64)
         self.item_end = item_end
-        following = np.append(self.begins[1:], 0)
+        following = np.append(self.begins, 0)[1:]
         inside = np.append(self.item_of[1:] == self.item_of[:-1], False) if n else np.zeros(0, bool)
         self.length = np.where(inside, following, item_end) - self.begins
         # Runs of least_run words that can begin here, and how many letters the shortest of them has.

@@ -22,7 +22,7 @@ ALIKE = (
     "օo հh սu ցg ոn ՕO ՍU"
 )
 #: Characters that print nothing.
-INVISIBLE = "­͏؜᠎​‌‍‎‏‪‫‬‭‮⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿"
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060\u2061\u2062\u2063\u2064\u2066\u2067\u2068\u2069\ufeff"
 #: The collation that tells letters, accents and case apart, and neither composed from separate accents nor invisible characters.
 COLLATION = "UNICODE"
 
