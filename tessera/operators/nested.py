@@ -19,8 +19,7 @@ from tessera.session import written
 #: A step into an array. A member name that begins with [ or \ is written with a \ before it, so none is mistaken for it.
 ITEM = "[]"
 _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|"((?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*)"|(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)|(true|false|null))')
-_TEXT = re.compile(r'[^"\\]*"')
-_ESCAPE = re.compile(r"\\(u[0-9a-fA-F]{4}(?:\\u[0-9a-fA-F]{4})?|.)", re.DOTALL)
+_ESCAPE = re.compile(r"\\(u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)", re.DOTALL)
 #: The short escapes of JSON.
 _SHORT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
 TRIPLES = "path array<string>, ordinals array<int>, kind string, value string, seq int"
@@ -31,12 +30,9 @@ def _unescape(match: re.Match) -> str:
     if body[0] != "u":
         return _SHORT.get(body, body)
     first = int(body[1:5], 16)
-    if len(body) == 5:
-        return chr(first) if not 0xD800 <= first <= 0xDFFF else "�"
-    second = int(body[7:11], 16)
-    if 0xD800 <= first < 0xDC00 <= second <= 0xDFFF:
-        return chr(0x10000 + ((first - 0xD800) << 10) + second - 0xDC00)
-    return "".join(chr(x) if not 0xD800 <= x <= 0xDFFF else "�" for x in (first, second))
+    if len(body) > 5:
+        return chr(0x10000 + ((first - 0xD800) << 10) + int(body[7:11], 16) - 0xDC00)
+    return chr(first) if not 0xD800 <= first <= 0xDFFF else "�"
 
 
 def parse(text: str | None) -> list[tuple[list[str], list[int], str, str | None]] | None:
