@@ -27,12 +27,18 @@ TEXTS = "array<string>"
 
 @dataclass
 class Node:
-    """A part of a spec, and the descriptions that take part in it for each root: root_r, root_c, ord and the pod's columns."""
+    """A part of a spec, and the descriptions that take part in it for each root: root_r, root_c, ord and the pod's columns.
+
+    A joined node also has `to` and `to_c`, the key it followed; r and everything else is null where nothing is there.
+    """
 
     part: dict
     pod: Pod
     root: bool
-    targets: DataFrame | None
+
+    def ids(self) -> Column:
+        """The subject of each row, whether it is there or not."""
+        return F.struct("r", "c").cast(ID) if self.root else F.struct(F.col("to").alias("r"), F.col("to_c").alias("c")).cast(ID)
 
 
 def _at(pod: Pod, frame: DataFrame) -> Pod:
@@ -54,14 +60,14 @@ def walk(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None, only: D
 
     A join follows the values of kind `u` of its predicate (`_id`: the subject itself; `followSequence`: rdf:_1, rdf:_2 and so
     on) to the description of that subject in the graph of the source, or in `context`. Repeated values are followed once,
-    missing targets give nothing. `targets` of a node are the keys it follows, missing ones included.
+    missing targets give rows without values.
     """
     pod = pods[spec["from"]]
     frame = pod.frame.where(of_type(pod, specs.types(spec), ns))
     if only is not None:
         frame = frame.join(only, (F.col("r") == F.col("root_r")) & (F.col("c") == F.col("root_c")), "left_semi")
     frame = frame.withColumn("root_r", F.col("r")).withColumn("root_c", F.col("c")).withColumn("ord", F.array(F.lit(0)))
-    root = Node(spec, _at(pod, frame), True, None)
+    root = Node(spec, _at(pod, frame), True)
     yield root
     yield from _children(root, spec, pods, spec["from"], context, prefix=None)
 
@@ -75,8 +81,8 @@ def _children(parent: Node, part: dict, pods: dict[str, Pod], default_from: str,
         links = links.withColumn("to_c", F.lit(context) if context else F.col("c")).drop("c")
         target = pods[joined.get("from", default_from)]
         here = links.select(*KEY, F.concat("base", F.array(F.lit(0), F.col("at"))).alias("ord"), F.concat("base", F.array(F.lit(1), F.col("at"))).alias("below"), "to", "to_c")
-        found = here.join(target.frame, (F.col("to") == F.col("r")) & (F.col("to_c") == F.col("c")), "inner").drop("to", "to_c")
-        node = Node(joined, _at(target, found), False, here.select(*KEY, F.col("to").alias("r"), F.col("to_c").alias("c")))
+        found = here.join(target.frame, (F.col("to") == F.col("r")) & (F.col("to_c") == F.col("c")), "left")
+        node = Node(joined, _at(target, found), False)
         yield node
         yield from _children(node, joined, pods, default_from, context, F.col("below"))
 
@@ -108,6 +114,11 @@ def field_value(pod: Pod, predicate: object) -> Value:
     return scalars.modify(name, value, body)
 
 
+def _link(ns: Namespaces | None) -> Column:
+    """The full URI of the subject at hand."""
+    return F.array_compact(F.array(ns.expand(F.col("r")) if ns else F.col("r")))
+
+
 def _as_texts(value: Value) -> Column:
     if value.kind == "texts":
         return value.column
@@ -122,21 +133,17 @@ def contributions(nodes: list[Node], fields_of: Callable[[Node], dict[str, Colum
     frames = []
     for node in nodes:
         fields, number = fields_of(node), counts_of(node)
-        own = F.array(F.struct("r", "c").cast(ID)) if node.root else F.lit(None).cast(f"array<{ID}>")
         frames.append(
             node.pod.frame.select(
-                *KEY, "ord", own.alias("ids"),
+                *KEY, "ord", node.ids().alias("id"),
                 *[(fields[f] if f in fields else F.lit(None).cast(TEXTS)).alias(f"f_{k}") for k, f in enumerate(names)],
                 *[(number[c] if c in number else F.lit(None).cast("bigint")).alias(f"n_{k}") for k, c in enumerate(counts)],
             )
         )
-        if node.targets is not None:
-            nothing = [F.lit(None).cast(TEXTS).alias(f"f_{k}") for k in range(len(names))] + [F.lit(None).cast("bigint").alias(f"n_{k}") for k in range(len(counts))]
-            frames.append(node.targets.select(*KEY, F.array(F.lit(0)).alias("ord"), F.array(F.struct("r", "c").cast(ID)).alias("ids"), *nothing))
     every = reduce(DataFrame.unionByName, frames)
     gathered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size(c) > 0, F.struct("ord", c)))), lambda x: x[c]))
     return every.groupBy(*KEY).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("impact"),
+        F.array_sort(F.collect_set("id")).alias("impact"),
         *[gathered(f"f_{k}").alias(f"f_{k}") for k in range(len(names))],
         *[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in range(len(counts))],
     )
@@ -158,7 +165,7 @@ def table(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None, only:
         for f in node.part.get("fields", []):
             out.setdefault(f["fieldName"], []).extend(_as_texts(field_value(node.pod, p)) for p in f.get("predicates", []))
             if f.get("value") in ("link", "_link_"):
-                out[f["fieldName"]].append(F.array(ns.expand(F.col("r")) if ns else F.col("r")))
+                out[f["fieldName"]].append(_link(ns))
         return {k: F.concat(*v) for k, v in out.items()}
 
     def counts_of(node: Node) -> dict[str, Column]:
@@ -199,7 +206,7 @@ def view(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None, only: D
     specs.validate(spec, "view", set(pods))
     out = []
     for node in walk(spec, pods, ns, only, context):
-        shown = node.pod
+        shown = node.pod if node.root else node.pod.only(F.col("r").isNotNull())
         if not node.root and node.part.get("filter"):
             shown = shown.only(_any_of(shown, node.part["filter"]))
         if not node.root and node.part.get("condition"):
@@ -270,7 +277,7 @@ def impact_index(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None,
     """root_r, root_c, impact_index: every subject of each composite, missing and filtered targets included."""
     keys = []
     for node in walk(spec, pods, ns, only, context):
-        keys.append(node.pod.frame.select(*KEY, "r", "c") if node.targets is None else node.targets)
+        keys.append(node.pod.frame.select(*KEY, node.ids().alias("id")).select(*KEY, "id.r", "id.c"))
     every = reduce(DataFrame.unionByName, keys).distinct()
     return every.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "c").cast(ID))).alias("impact_index"))
 
@@ -307,7 +314,7 @@ def search_documents(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = N
                 values = _trimmed(field_value(node.pod, p).column, index)
                 out.setdefault(f["fieldName"], []).append(F.slice(values, 1, f["limit"]) if f.get("limit") else values)
             if f.get("value") in ("link", "_link_"):
-                out.setdefault(f["fieldName"], []).append(F.array(ns.expand(F.col("r")) if ns else F.col("r")))
+                out.setdefault(f["fieldName"], []).append(_link(ns))
         return {k: F.concat(*v) for k, v in out.items()}
 
     rows = contributions(nodes, fields_of, lambda _: {}, names, [])
