@@ -193,9 +193,9 @@ def table_sort_page(pods):
     return flat(composites.table_rows(t_orders(pods), {"value.segment": "BUILDING", "value.size": "big"}, {"value.total": -1}, 5, 25)).select("r", "customer", "total", "size")
 
 
-@query(f"SELECT count(*) AS count FROM ({_T_ORDERS}) WHERE nation = 'CHINA' OR items >= 6")
+@query(f"SELECT count(*) AS count FROM ({_T_ORDERS}) WHERE nation = 'NATION_7' OR items >= 6")
 def table_count(pods):
-    return composites.count_rows(t_orders(pods), {"$or": [{"value.nation": "CHINA"}, {"value.items": {"$gte": 6}}]})
+    return composites.count_rows(t_orders(pods), {"$or": [{"value.nation": "NATION_7"}, {"value.items": {"$gte": 6}}]})
 
 
 @query(f"SELECT DISTINCT nation AS value FROM ({_T_ORDERS}) WHERE size = 'big' AND nation IS NOT NULL")
@@ -305,9 +305,9 @@ def view_triples(pods):
     return _view_triples(compiler.view(V_CUSTOMER, pods, NS))
 
 
-@query(f"SELECT k.r AS root_r, count(n.n_nationkey) + count(g.r_regionkey) + 1 AS graphs FROM ({_CUSTOMERS}) k LEFT JOIN nation m ON k.nation = 'ex:nation/' || m.n_nationkey LEFT JOIN nation n ON n.n_nationkey = m.n_nationkey AND n.n_name IN ('CHINA', 'FRANCE') LEFT JOIN region g ON g.r_regionkey = m.n_regionkey GROUP BY k.r")
+@query(f"SELECT k.r AS root_r, count(n.n_nationkey) + count(g.r_regionkey) + 1 AS graphs FROM ({_CUSTOMERS}) k LEFT JOIN nation m ON k.nation = 'ex:nation/' || m.n_nationkey LEFT JOIN nation n ON n.n_nationkey = m.n_nationkey AND n.n_name IN ('NATION_7', 'NATION_3') LEFT JOIN region g ON g.r_regionkey = m.n_regionkey GROUP BY k.r")
 def view_filter(pods):
-    spec = {**V_CUSTOMER, "joins": {"ex:nation": {"from": "nations", "filter": {"ex:name": {"$in": ["CHINA", "FRANCE"]}}, "joins": {"ex:region": {"from": "regions"}}}}}
+    spec = {**V_CUSTOMER, "joins": {"ex:nation": {"from": "nations", "filter": {"ex:name": {"$in": ["NATION_7", "NATION_3"]}}, "joins": {"ex:region": {"from": "regions"}}}}}
     return compiler.view(spec, pods, NS).groupBy("root_r").agg(F.count(F.lit(1)).alias("graphs"))
 
 
@@ -329,9 +329,9 @@ def _nested(pods: Pods) -> DataFrame:
     return compiler.nested_view(compiler.view(V_CUSTOMER, pods, NS), compiler.impact_index(V_CUSTOMER, pods, NS), "v_customer")
 
 
-@query(f"SELECT k.r AS r, 3 AS graphs, k.r AS last, 3 AS impact FROM ({_CUSTOMERS}) k JOIN nation n ON k.nation = 'ex:nation/' || n.n_nationkey WHERE n.n_name = 'CHINA'")
+@query(f"SELECT k.r AS r, 3 AS graphs, k.r AS last, 3 AS impact FROM ({_CUSTOMERS}) k JOIN nation n ON k.nation = 'ex:nation/' || n.n_nationkey WHERE n.n_name = 'NATION_7'")
 def view_query(pods):
-    found = composites.query_views(_nested(pods), {"ex:name.l": "CHINA"})
+    found = composites.query_views(_nested(pods), {"ex:name.l": "NATION_7"})
     return found.select("r", F.size("graphs").alias("graphs"), F.element_at("graphs", -1)["r"].alias("last"), F.size("impact_index").alias("impact"))
 
 
