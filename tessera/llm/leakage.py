@@ -1,8 +1,7 @@
 """Passages of held-out items in a corpus, by suffix arrays over shards of the corpus.
 
 Every shard (a slice of one partition) gets the sorted array of its suffixes at word beginnings; every suffix of the items is
-looked up in it by binary search. The verbatim matches are lengthened past altered words to either side, and what may be
-long enough is aligned exactly.
+looked up in it by binary search. Every verbatim run that is long enough to be part of a leak is aligned exactly.
 
 Texts are compared as streams of letters and digits: case, accents, punctuation, white space, line breaks, look-alike
 characters, page headers and paragraph numbers aren't in them.
@@ -11,9 +10,9 @@ characters, page headers and paragraph numbers aren't in them.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 from functools import cache, reduce
 
 import numpy as np
@@ -222,12 +221,10 @@ def deep_key(s: Stream, at: np.ndarray, depth: int) -> np.ndarray:
 
 
 class Walk:
-    """Lengthens matches in one direction: onward from a word and a place, or back from the word and the place before them."""
+    """Follows verbatim matches onward from a word and a place."""
 
-    def __init__(self, doc: Stream, items: Items, onward: bool) -> None:
-        self.doc, self.items, self.onward = doc, items, onward
-        self.top = len(doc.keys) - _PAD
-        self.item_begin = items.begins[items.first_word] if len(items.begins) else items.begins
+    def __init__(self, doc: Stream, items: Items) -> None:
+        self.doc, self.items = doc, items
 
     def equal(self, y: np.ndarray, i: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Whether `count` letters agree from y on in the corpus and from i on in the items."""
@@ -243,64 +240,19 @@ class Walk:
             at = at[same & (count[at] > done)]
         return ok
 
-    def run(self, word: np.ndarray, y: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, place) behind the whole words that match one after the other, up to the word `until`."""
+    def run(self, word: np.ndarray, y: np.ndarray, until: np.ndarray) -> np.ndarray:
+        """The word behind the whole words that match one after the other, up to the word `until`."""
         word, y = word.copy(), y.copy()
         alive = np.flatnonzero(word != until)
         while len(alive):
-            w = word[alive] if self.onward else word[alive] - 1
+            w = word[alive]
             size = self.items.length[w]
-            ok = self.equal(y[alive] if self.onward else y[alive] - size, self.items.begins[w], size)
+            ok = self.equal(y[alive], self.items.begins[w], size)
             alive, size = alive[ok], size[ok]
-            y[alive] += size if self.onward else -size
-            word[alive] += 1 if self.onward else -1
+            y[alive] += size
+            word[alive] += 1
             alive = alive[word[alive] != until[alive]]
-        return word, y
-
-    def go(self, word: np.ndarray, y: np.ndarray, until: np.ndarray, steps: int, furthest: int) -> tuple[list, list, np.ndarray]:
-        """Words and altered words reached after each step, and the place reached: in each step one to three words are altered
-        (or none, where the text holds something more), then words match again."""
-        origin, altered = word.copy(), np.zeros(len(word), np.int64)
-        word, y = self.run(word, y, until)
-        reached, lost = [abs(word - origin)], [altered.copy()]
-        live = np.flatnonzero(word != until)
-        begins, length = self.items.begins, self.items.length
-        for _ in range(steps):
-            if not len(live):
-                break
-            found = np.zeros(len(live), bool)
-            to_word, to_y, skipped = word[live].copy(), y[live].copy(), np.zeros(len(live), np.int64)
-            for skip in (1, 0, 2, 3):
-                target = word[live] + (skip if self.onward else -skip)
-                open_ = np.flatnonzero(~found & ((target < until[live]) if self.onward else (target > until[live])))
-                if not len(open_):
-                    continue
-                w = target[open_] if self.onward else target[open_] - 1
-                edge = begins[w] if self.onward else begins[w] + length[w]
-                far = np.minimum(self.items.item_end[w] - edge if self.onward else edge - self.item_begin[w], _WIDTH)
-                wanted = self.items.forward.key_of_prefix(edge if self.onward else edge - far, far)
-                for delta in range(1 if skip == 0 else 0, furthest + 10 * skip):
-                    at = y[live[open_]] + delta if self.onward else y[live[open_]] - delta - far
-                    hit = (far >= 3) & (at >= 0) & (at < self.top)
-                    hit[hit] = self.doc.key_of_prefix(at[hit], far[hit]) == wanted[hit]
-                    if not hit.any():
-                        continue
-                    chosen = open_[hit]
-                    found[chosen], to_word[chosen], skipped[chosen] = True, target[chosen], skip
-                    to_y[chosen] = y[live[chosen]] + (delta if self.onward else -delta)
-                    open_, far, wanted = open_[~hit], far[~hit], wanted[~hit]
-                    if not len(open_):
-                        break
-            live, to_word, to_y, skipped = live[found], to_word[found], to_y[found], skipped[found]
-            a, b = self.run(to_word, to_y, until[live])
-            moved = a != to_word
-            live, a, b, skipped = live[moved], a[moved], b[moved], skipped[moved]
-            word[live], y[live] = a, b
-            altered[live] += skipped
-            reached.append(abs(word - origin))
-            lost.append(altered.copy())
-            live = live[word[live] != until[live]]
-        return reached, lost, y
+        return word
 
 
 @dataclass(frozen=True)
@@ -316,28 +268,103 @@ class Rule:
         return min(-(-(n - n // self.altered_in) // (n // self.altered_in + 1)) for n in range(self.words, 40 * self.altered_in))
 
 
-def longest_passage(item: list[bytes], text: list[bytes], rule: Rule) -> tuple[int, int, int] | None:
-    """(words, altered, first word) of the longest passage of item that text holds under the rule, None if there is none.
+class Alignment:
+    """Alignments of items with the texts of a shard: chains of item words that the text holds verbatim, in order.
 
-    A passage begins and ends with a word that is there verbatim; between two verbatim runs, text has at most two words for
-    each altered one, and one more.
+    Words are compared by their letters, so a word that the text parts otherwise is the same. Between two words of a chain,
+    some words of the item may be altered; the text has at most two words for each of them, and one more. A chain begins and
+    ends where a word of the text does.
     """
-    blocks = [b for b in SequenceMatcher(None, item, text, autojunk=False).get_matching_blocks() if b.size]
-    best = None
-    for i, begin in enumerate(blocks):
-        altered, last = 0, begin
-        for block in blocks[i:]:
-            if block is not begin:
-                gap = block.a - last.a - last.size
-                if block.b - last.b - last.size > 2 * gap + 1:
-                    break
-                altered += gap
-            last = block
-            # One in altered_in may be altered; a shorter part of the runs at the ends only has fewer words.
-            words = block.a + block.size - begin.a
-            if words >= rule.words and altered * rule.altered_in <= words and (best is None or words > best[0]):
-                best = (words, altered, begin.a)
-    return best
+
+    def __init__(self, doc: Stream, rule: Rule) -> None:
+        self.letters, self.begins, self.rule = doc.letters.tobytes(), doc.begins.tolist(), rule
+        self.owner = doc.text_of[doc.begins]
+
+    def onward(self, words: list[bytes], row: int, y: int, most: int, end: int) -> Iterator[tuple[int, int, int]]:
+        """(row, place, altered words before it) of each word that can follow, the text's words ending before number `end`."""
+        letters, begins, last = self.letters, self.begins, len(words)
+        y += len(words[row])
+        row += 1
+        if row < last and letters.startswith(words[row], y):
+            yield row, y, 0
+        k = bisect_left(begins, y)
+        if letters[y] and not (k < end and begins[k] == y):
+            return
+        for altered in range(min(most + 1, last - row)):
+            word = words[row + altered]
+            for z in begins[k + (altered == 0) : min(k + 2 * altered + 2, end)]:
+                if letters.startswith(word, z):
+                    yield row + altered, z, altered
+
+    def back(self, words: list[bytes], row: int, y: int, most: int, first: int) -> Iterator[tuple[int, int, int]]:
+        """The same for each word that can go before, the text's words beginning with number `first`."""
+        letters, begins = self.letters, self.begins
+        row -= 1
+        if row >= 0 and y >= len(words[row]) and letters.startswith(words[row], y - len(words[row])):
+            yield row, y - len(words[row]), 0
+        k = bisect_left(begins, y)
+        if k == len(begins) or begins[k] != y:
+            return
+        for altered in range(min(most, row) + 1):
+            word = words[row - altered]
+            for z in begins[max(k - 2 * altered - 1, first) : k + (altered > 0)]:
+                if z >= len(word) and letters.startswith(word, z - len(word)):
+                    yield row - altered, z - len(word), altered
+
+    def reached(self, step: Callable, words: list[bytes], seeds: set[tuple[int, int]], most: int, edge: int, rows: Iterable[int]) -> set[tuple[int, int]]:
+        """All (row, place) that a chain from one of the seeds reaches with at most `most` altered words."""
+        found: list[dict[int, int]] = [{} for _ in words]
+        for row, y in seeds:
+            found[row][y] = 0
+        for row in rows:
+            for y, altered in found[row].items():
+                for to, z, more in step(words, row, y, most - altered, edge):
+                    if altered + more < found[to].get(z, most + 1):
+                        found[to][z] = altered + more
+        return {(row, y) for row, ys in enumerate(found) for y in ys}
+
+    def longest(self, words: list[bytes], text: int, seeds: list[tuple[int, int]]) -> tuple[int, int, int] | None:
+        """(words, altered, first word) of the passage with most verbatim words under the rule through one of the seeds, None if
+        there is none."""
+        rule, n = self.rule, len(words)
+        first, end = (int(x) for x in np.searchsorted(self.owner, [text, text + 1]))
+        best: tuple[int, int, int] | None = None
+        # Seeds far from each other are followed apart, so that what is held stays small.
+        seeds, span, at = sorted(seeds, key=lambda s: s[1]), 4 * sum(map(len, words)), 0
+        while at < len(seeds) and (best is None or best[:2] != (n, 0)):
+            upto = at
+            while upto < len(seeds) and seeds[upto][1] <= seeds[at][1] + span:
+                upto += 1
+            mine, at = set(seeds[at:upto]), upto
+            most = n // rule.altered_in
+            points = self.reached(self.onward, words, mine, most, end, range(n)) | self.reached(self.back, words, mine, most, first, range(n - 1, -1, -1))
+            # The least altered words of a chain from each first word to each point.
+            none = np.full(n, n + 1, np.int32)
+            least = dict.fromkeys(points, none)
+            rows = np.arange(n)
+            for row, y in sorted(points):
+                here = least[row, y]
+                k = bisect_left(self.begins, y)
+                if k < end and self.begins[k] == y:
+                    here = here.copy()
+                    here[row] = 0
+                if here.min() > most:
+                    continue
+                for to, z, altered in self.onward(words, row, y, most, end):
+                    if (to, z) in least:
+                        least[to, z] = np.minimum(least[to, z], here + altered)
+                y += len(words[row])
+                k = bisect_left(self.begins, y)
+                if self.letters[y] and not (k < end and self.begins[k] == y):
+                    continue
+                size = row + 1 - rows
+                good = np.flatnonzero((size >= rule.words) & (here * rule.altered_in <= size))
+                if len(good):
+                    a = int(good[np.argmax((size - here)[good])])
+                    found = (int(size[a]), int(here[a]), a)
+                    if best is None or (found[0] - found[1], found[0]) > (best[0] - best[1], best[0]):
+                        best = found
+        return best
 
 
 def search(items: Items, texts: list[str | None], rule: Rule) -> list[tuple[int, int, int, int, int]]:
@@ -353,7 +380,7 @@ def search(items: Items, texts: list[str | None], rule: Rule) -> list[tuple[int,
     times = np.diff(np.append(first, len(items.suffix_keys)))
     low, high = np.searchsorted(array, wanted, "left"), np.searchsorted(array, wanted, "right")
     hit = np.flatnonzero(high > low)
-    onward, back = Walk(doc, items, True), Walk(doc, items, False)
+    walk = Walk(doc, items)
     # All pairs of an item's suffix and a place with that key, in blocks; keys are deep, so few suffixes share one.
     size = (high[hit] - low[hit]) * times[hit]
     block = np.cumsum(size) // PAIRS
@@ -365,45 +392,22 @@ def search(items: Items, texts: list[str | None], rule: Rule) -> list[tuple[int,
         inner = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
         suffix = items.seeds[first[which] + inner % times[which]]
         place = doc.begins[order[low[which] + inner // times[which]]]
-        end, _ = onward.run(suffix, place, items.end_word[suffix])
-        long = end - suffix >= rule.least_run
+        long = walk.run(suffix, place, np.minimum(suffix + rule.least_run, items.end_word[suffix])) - suffix >= rule.least_run
         kept.append((suffix[long], place[long]))
     if not kept:
         return []
     suffix, place = (np.concatenate(x) for x in zip(*kept, strict=True))
-    # Of one run of matches only the first counts: the others begin inside it.
-    before = np.maximum(suffix - 1, 0)
-    same = back.equal(place - items.length[before], items.begins[before], items.length[before]) & (suffix > items.first_word[suffix])
-    suffix, place = suffix[~same], place[~same]
-    if not len(suffix):
-        return []
-    steps = 14
-    right, right_lost, y_end = onward.go(suffix, place, items.end_word[suffix], steps, 24)
-    left, left_lost, y_begin = back.go(suffix, place, items.first_word[suffix], steps, 24)
-
-    slack = 2
-    good = np.zeros(len(suffix), bool)
-    for a, la in zip(left, left_lost, strict=True):
-        for b, lb in zip(right, right_lost, strict=True):
-            words, altered = a + b, la + lb
-            good |= (words >= rule.words - slack) & ((altered - slack) * rule.altered_in <= words)
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
-    known: dict[int, list[bytes]] = {}
-    starts_of = doc.begins
-    for k in np.flatnonzero(good):
-        text, item = int(doc.text_of[place[k]]), int(items.item_of[suffix[k]])
-        low_, high_ = int(y_begin[k]) - 60, int(y_end[k]) + 60
-        a, b = np.searchsorted(starts_of, low_), np.searchsorted(starts_of, high_)
-        span = starts_of[a : b + 1]
-        span = span[doc.text_of[span] == text]
-        stops = np.append(span[1:], span[-1] + 1 + int(np.argmin(doc.letters[span[-1] + 1 :])))
-        words = [doc.letters[x:z].tobytes() for x, z in zip(span, stops, strict=True)]
-        if item not in known:
-            known[item] = items.words(item)
-        best = longest_passage(known[item], words, rule)
-        if best and best > out.get((text, item), (0, 0, 0)):
-            out[text, item] = best
-    return [(t, i, *v) for (t, i), v in out.items()]
+    seeds: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for t, i, row, y in zip(*(x.tolist() for x in (doc.text_of[place], items.item_of[suffix], suffix - items.first_word[suffix], place)), strict=True):
+        seeds.setdefault((t, i), []).append((row, y))
+    alignment, known, out = Alignment(doc, rule), {}, []
+    for (t, i), found in seeds.items():
+        if i not in known:
+            known[i] = items.words(i)
+        best = alignment.longest(known[i], t, found)
+        if best:
+            out.append((t, i, *best))
+    return out
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule | None = None) -> DataFrame:

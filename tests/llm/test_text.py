@@ -127,3 +127,55 @@ def test_leaks_equal_a_plain_search():
         text = " ".join(["before"] * 20 + items[which][start : start + size] + ["after"] * 20)
         got = [(i, n, first) for _, i, n, _, first in leakage.search(held, [text], leakage.Rule())]
         assert got == ([(which, size, start)] if size >= 25 else [])
+
+
+def brute_force(item, text, rule):
+    """(verbatim words, words) of the best leak, over every chain of equal words; between two of them at most 2 words for each
+    altered one, and one more."""
+    same = [(i, j) for i, w in enumerate(item) for j, v in enumerate(text) if w == v]
+    least, best = {p: {p[0]: 0} for p in same}, (0, 0)
+    for n, (i, j) in enumerate(same):
+        here = least[i, j]
+        for first, altered in here.items():
+            if i + 1 - first >= rule.words and altered * rule.altered_in <= i + 1 - first:
+                best = max(best, (i + 1 - first - altered, i + 1 - first))
+        for i2, j2 in same[n + 1 :]:
+            if i2 > i and j2 > j and j2 - j - 1 <= 2 * (i2 - i - 1) + 1:
+                for first, altered in here.items():
+                    least[i2, j2][first] = min(least[i2, j2].get(first, 999), altered + i2 - i - 1)
+    return best
+
+
+def test_leaks_with_altered_words_equal_brute_force():
+    rule, draw = leakage.Rule(), random.Random(8)
+    gone = lambda body, at: " ".join("█████" if k in at else w for k, w in enumerate(body))
+    assert leaked(gone(ITEM[:40], range(18, 22))) == [(0, 40)]
+    assert leaked(" ".join([*ITEM[:15], "other", "of", "the", "another", *ITEM[19:40]])) == [(0, 40)]
+    assert leaked(gone(ITEM[:40], range(18, 23))) == []
+    seen = 0
+    for _ in range(80):
+        item = [draw.choice(["of", "the", "a"]) if draw.random() < 0.3 else w for w in draw.sample(WORDS, 60)]
+        size = draw.randint(25, 60)
+        start, some = draw.randrange(60 - size + 1), draw.randint(0, size // 10 + 1)
+        body = [[w] for w in item[start : start + size]]
+        cluster = draw.randrange(1, size - some)
+        for k in range(cluster, cluster + some) if draw.random() < 0.5 else draw.sample(range(1, size - 1), some):
+            body[k] = draw.choice([[], ["the"], ["x" * 30], ["of", "y" * 40]])
+        text = ["the", "of"] * 5 + [w for words in body for w in words] + ["a", "the"] * 5
+        held = leakage.Items([0], [" ".join(item)], rule.least_run)
+        got = [(n - altered, n) for _, _, n, altered, _ in leakage.search(held, [" ".join(text)], rule)]
+        want = brute_force(item, text, rule)
+        seen += want > (0, 0)
+        assert got == ([want] if want > (0, 0) else []), (item, text)
+    assert 40 < seen < 80
+
+
+def test_leaks_in_words_that_the_text_parts_otherwise():
+    """A word is the same wherever the text parts it, and no part of a longer word."""
+    item = [f"{w}'s" if k % 4 == 0 else w for k, w in enumerate(ITEM)]
+    items = leakage.Items([0], [" ".join(item)], leakage.Rule().least_run)
+    found = lambda text: [n for _, _, n, *_ in leakage.search(items, [text], leakage.Rule())]
+    assert found(" ".join(item[:30])) == [30]
+    assert found(" ".join(w[:3] + "\n" + w[3:] for w in item[:30])) == [30]
+    assert found(" ".join(item[:25])[:-2] + "longer") == [] and found(" ".join(item[1:26]) + "longer") == []
+    assert found("x" + " ".join(item[:25])) == [] and found("x" + " ".join(item[:26])) == [25]
