@@ -202,22 +202,39 @@ class Items:
         seeds = np.flatnonzero(np.arange(n) + least_run <= self.end_word)
         ends = seeds + least_run - 1
         spans = self.begins[ends] + self.length[ends] - self.begins[seeds]
-        self.depth = int(np.clip(spans.min(), _WIDTH, 2 * _WIDTH)) if len(seeds) else _WIDTH
-        self.seeds = seeds
-        self.suffix_keys = deep_key(self.forward, self.begins[seeds], self.depth)
-        order = np.argsort(self.suffix_keys, kind="stable")
-        self.seeds, self.suffix_keys = seeds[order], self.suffix_keys[order]
+        self.depth = int(min(spans.min(), 2 * _WIDTH)) if len(seeds) else _WIDTH
+        order, self.suffix_keys = suffix_array(self.forward, self.begins[seeds], self.depth)
+        self.seeds = seeds[order]
 
     def words(self, item: int) -> list[bytes]:
         which = np.flatnonzero(self.item_of == item)
         return [self.forward.letters[b : b + k].tobytes() for b, k in zip(self.begins[which], self.length[which], strict=True)]
 
 
-def deep_key(s: Stream, at: np.ndarray, depth: int) -> np.ndarray:
-    """One number for the `depth` (12 to 24) letters from each place on; equal letters have equal numbers, and what is found
-    by it is compared letter by letter."""
-    second = s.keys[np.minimum(at + _WIDTH, len(s.keys) - 1)] // _POWERS[2 * _WIDTH - depth] if depth > _WIDTH else np.zeros(len(at), np.uint64)
-    return s.keys[at] * np.uint64(0x9E3779B97F4A7C15) + second
+def suffix_array(s: Stream, at: np.ndarray, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The order of the suffixes from the places `at` on by their first `depth` (at most 24) letters, and in that order those
+    letters, as a number of the first 12 and one of the rest."""
+    first = s.keys[at] // _POWERS[max(_WIDTH - depth, 0)]
+    second = s.keys[np.minimum(at + _WIDTH, len(s.keys) - 1)] // _POWERS[min(2 * _WIDTH - depth, _WIDTH)]
+    order = np.lexsort((second, first))
+    return order, (first[order], second[order])
+
+
+def bounds(array: tuple[np.ndarray, np.ndarray], wanted: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the sorted array the pairs that equal each wanted pair begin and end, by binary search."""
+    first, second = array
+    low, high = np.searchsorted(first, wanted[0], "left"), np.searchsorted(first, wanted[0], "right")
+    out = []
+    for before in (np.less, np.less_equal):
+        a, b = low.copy(), high.copy()
+        live = np.flatnonzero(a < b)
+        while len(live):
+            middle = (a[live] + b[live]) // 2
+            up = before(second[middle], wanted[1][live])
+            a[live[up]], b[live[~up]] = middle[up] + 1, middle[~up]
+            live = live[a[live] < b[live]]
+        out.append(a)
+    return out[0], out[1]
 
 
 class Walk:
@@ -372,13 +389,12 @@ def search(items: Items, texts: list[str | None], rule: Rule) -> list[tuple[int,
     doc = stream(texts, furniture=True)
     if not len(doc.begins) or not len(items.seeds):
         return []
-    # The suffix array of the shard: word beginnings in the order of their letters.
-    keys = deep_key(doc, doc.begins, items.depth)
-    order = np.argsort(keys)
-    array = keys[order]
-    wanted, first = np.unique(items.suffix_keys, return_index=True)
-    times = np.diff(np.append(first, len(items.suffix_keys)))
-    low, high = np.searchsorted(array, wanted, "left"), np.searchsorted(array, wanted, "right")
+    # The suffix array of the shard: word beginnings in the order of their letters, to the depth of the items' keys.
+    order, array = suffix_array(doc, doc.begins, items.depth)
+    one, two = items.suffix_keys
+    first = np.flatnonzero(np.append([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    times = np.diff(np.append(first, len(one)))
+    low, high = bounds(array, (one[first], two[first]))
     hit = np.flatnonzero(high > low)
     walk = Walk(doc, items)
     # All pairs of an item's suffix and a place with that key, in blocks; keys are deep, so few suffixes share one.

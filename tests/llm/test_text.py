@@ -4,6 +4,7 @@ import random
 import unicodedata
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tessera.llm import bpe, leakage, lookalike, terms, tokenize
@@ -179,3 +180,24 @@ def test_leaks_in_words_that_the_text_parts_otherwise():
     assert found(" ".join(w[:3] + "\n" + w[3:] for w in item[:30])) == [30]
     assert found(" ".join(item[:25])[:-2] + "longer") == [] and found(" ".join(item[1:26]) + "longer") == []
     assert found("x" + " ".join(item[:25])) == [] and found("x" + " ".join(item[:26])) == [25]
+
+
+def test_suffix_array_is_in_the_order_of_the_letters():
+    draw = random.Random(3)
+    texts = [" ".join("".join(draw.choice("ab") for _ in range(draw.randint(1, 4))) for _ in range(60)) for _ in range(20)]
+    stream = leakage.stream(texts, furniture=False)
+    for depth in (7, 12, 17, 24):
+        order, keys = leakage.suffix_array(stream, stream.begins, depth)
+        prefixes = [stream.letters[p : p + depth].tobytes() for p in stream.begins[order]]
+        assert prefixes == sorted(prefixes)
+        low, high = leakage.bounds(keys, keys)
+        assert [(prefixes.index(x), prefixes.index(x) + prefixes.count(x)) for x in prefixes] == list(zip(low, high, strict=True))
+    nothing = leakage.bounds(keys, (keys[0] + np.uint64(1), keys[1] + np.uint64(1)))
+    assert all(a == b or (keys[0][a], keys[1][a]) == (k + 1, m + 1) for a, b, k, m in zip(*nothing, *keys, strict=True))
+
+
+def test_leaks_of_very_short_words():
+    item = [chr(97 + k) for k in range(25)] + [f"z{chr(97 + k)}" for k in range(15)]
+    items = leakage.Items([0], [" ".join(item)], leakage.Rule().least_run)
+    text = " ".join("█" if k in (8, 17) else w for k, w in enumerate(item[:25]))
+    assert [(n, a) for _, _, n, a, _ in leakage.search(items, [text], leakage.Rule())] == [(25, 2)]
