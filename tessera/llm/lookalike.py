@@ -57,12 +57,12 @@ def _joined() -> dict[str, str]:
 
 @cache
 def _bare() -> dict[str, str]:
-    """_single() with accents taken off, for letters whose base is ASCII."""
+    """_single() with accents taken off, for all characters whose canonical decomposition begins with an ASCII one."""
     out = {}
-    for point in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), 0x212A, 0x212B]:
-        base = unicodedata.normalize("NFD", chr(point))
-        if len(base) > 1 and base[0].isascii() or base.isascii():
-            out[chr(point)] = base[0]
+    for point in range(0x80, 0x110000):
+        base = unicodedata.normalize("NFD", chr(point))[0]
+        if base.isascii():
+            out[chr(point)] = base
     for letter, made in _single().items():
         base = unicodedata.normalize("NFD", made)[0]
         if base.isascii():
@@ -85,8 +85,9 @@ def signature(text: Column) -> Column:
     bare = _bare()
     out = F.translate(text, "".join(bare), "".join(bare.values()))
     for joined, letters in _joined().items():
-        if letters.isascii():
-            out = F.replace(out, F.lit(joined), F.lit(letters))
+        kept = "".join(x for x in unicodedata.normalize("NFD", letters) if x.isascii())
+        if kept:
+            out = F.replace(out, F.lit(joined), F.lit(kept))
     return F.xxhash64(F.regexp_replace(out, r"[^\n\r -~]+", ""))
 
 

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bpe, leakage, lookalike, terms, tokenize
 from tessera.llm.queries import TOKENIZERS
@@ -78,6 +79,17 @@ def test_lookalikes_equal_brute_force(spark):
     assert lookalike.pairs(*empty).count() == 0
 
 
+def test_signatures_are_equal_where_the_collation_is(spark):
+    """Every character that has a canonical decomposition or another printed form, against that form."""
+    form = lambda x: unicodedata.normalize("NFD", lookalike._joined().get(x, lookalike._single().get(x, x)))
+    points = [chr(p) for p in range(0x80, 0x110000) if not 0xAC00 <= p < 0xE000]
+    rows = spark.createDataFrame([(x, f"a{x}b", f"a{form(x)}b") for x in points if form(x) != x], "x string, one string, other string")
+    equal = F.collate(lookalike.mapped(F.col("one")), lookalike.COLLATION) == F.collate(lookalike.mapped(F.col("other")), lookalike.COLLATION)
+    found = rows.select("x", equal.alias("equal"), (lookalike.signature(F.col("one")) == lookalike.signature(F.col("other"))).alias("same")).where("equal").collect()
+    assert {"\u2260", "\u226e", "\u226f", "\u037e", "\u1fef", "\u00e9", "\uffe3"} <= {r.x for r in found}
+    assert [r.x for r in found if not r.same] == []
+
+
 WORDS = [f"w{chr(97 + n % 26)}{chr(97 + n // 26)}ord" for n in range(400)]
 ITEM = WORDS[:60]
 
