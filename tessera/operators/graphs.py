@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 TRIPLE = ["s", "p", "k", "o"]
 
 
@@ -171,17 +173,25 @@ def remove_from_sequence(triples: DataFrame, sequence: str, value: str) -> DataF
 
 
 def list_values(triples: DataFrame, head: str) -> DataFrame:
-    """n, o: the values of an rdf:first / rdf:rest list from its head on, by a recursive query; a list that bites its own tail
-    ends after a million steps with an error."""
-    spark = triples.sparkSession
-    name = f"_list_{abs(hash(head))}"
-    triples.createOrReplaceTempView(name)
-    quoted = head.replace("'", "\\'")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(n, node) AS (
-              SELECT 1, '{quoted}' UNION ALL SELECT w.n + 1, t.o FROM walk w JOIN {name} t ON t.s = w.node AND t.p = 'rdf:rest' WHERE t.o <> 'rdf:nil')
-            SELECT w.n AS n, t.o AS o FROM walk w JOIN {name} t ON t.s = w.node AND t.p = 'rdf:first'"""
-    )
+    """n, o: the values of an rdf:first / rdf:rest list from its head on, whatever its length, by pointer doubling: every round
+    doubles the places that are known and the length of the jumps. A list that bites its own tail is an error."""
+    rest = triples.where("p = 'rdf:rest' AND o <> 'rdf:nil'").select("s", "o").distinct()
+    jump = cut(rest)
+    most = jump.select("s").distinct().count() + 1
+    known = triples.sparkSession.range(1).select(F.lit(1).alias("n"), F.lit(head).alias("node"))
+    step = 1
+    while True:
+        further = cut(known.join(jump, F.col("node") == F.col("s")).select((F.col("n") + step).alias("n"), F.col("o").alias("node")).distinct())
+        top = further.agg(F.max("n")).first()[0]
+        if top is None:
+            break
+        if top > most:
+            raise ValueError(f"the list {head} bites its own tail")
+        known = known.unionByName(further)
+        jump = cut(jump.join(jump.select(F.col("s").alias("_s"), F.col("o").alias("_o")), F.col("o") == F.col("_s")).select("s", F.col("_o").alias("o")).distinct())
+        step *= 2
+    first = triples.where("p = 'rdf:first'").select("s", "o").distinct()
+    return known.join(first, F.col("node") == F.col("s")).select("n", "o")
 
 
 def label(triples: DataFrame, predicates: list[str]) -> DataFrame:

@@ -225,3 +225,16 @@ def test_entry_points_agree():
     import __spark_entry__ as contract
 
     assert set(contract.oracle_sql()) <= set(contract.queries()) and {"p1_found", "p2_found", "p3_found", "p4_found", "p5_found"} <= set(contract.queries())
+
+
+def test_list_values_of_a_long_list(spark):
+    def triples(count, end):
+        node = lambda k: f"_:l{k}"
+        rows = [(node(k), "rdf:first", f"v{k}") for k in range(count)] + [(node(k), "rdf:rest", node(k + 1) if k + 1 < count else end) for k in range(count)]
+        return spark.createDataFrame(rows + [("_:x", "rdf:rest", "_:x")], "s string, p string, o string")
+
+    for count in (1, 2, 150, 3000):
+        got = sorted((r.n, r.o) for r in graphs.list_values(triples(count, "rdf:nil"), "_:l0").collect())
+        assert got == [(k + 1, f"v{k}") for k in range(count)]
+    with pytest.raises(ValueError, match="tail"):
+        graphs.list_values(triples(20, "_:l5"), "_:l0")
