@@ -20,6 +20,9 @@ MAX_ATTRIBUTES = 2_000
 #: How a text of each type is written.
 FORMS = {"integer": r"^[+-]?[0-9]+$", "decimal": r"^[+-]?[0-9]+(\.[0-9]+)?$", "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "boolean": r"(?i)^(true|false|1|0)$"}
 
+#: The typed texts that the columns of these types hold unchanged.
+HELD = {"integer": r"^-?[0-9]{1,38}$", "decimal": r"^-?[0-9]{1,26}(\.[0-9]{1,12})?$"}
+
 
 @dataclass(frozen=True)
 class Attribute:
@@ -99,29 +102,44 @@ def cells(triples: DataFrame, attributes: list[Attribute], ns: Namespaces) -> Da
 
 def wide(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
     """One row per entity: s, c, a typed column per attribute, and `unheld`, the attributes of multiplicity one whose
-    values don't fit one typed column (a value that isn't of the type, or two that differ).
+    values don't fit one typed column (a value that isn't of the type, or two that differ), and `beyond`, the attributes with
+    a value that is of the type but has more digits than its column.
 
-    Their column is null, as is that of an attribute without values; integers are decimal(38,0), decimals decimal(38,12),
-    null beyond that. Attributes of multiplicity `many` give arrays of the values that are of the type.
+    The column of the unheld is null, as is that of an attribute without values; integers are decimal(38,0), decimals
+    decimal(38,12) (26 digits before and 12 behind the point), null beyond that and never rounded. Attributes of multiplicity
+    `many` give arrays of the values that are of the type, with null for those beyond.
     """
     row = F.array_sort(F.collect_list(F.struct("place", "n", "bad", "low", "high", "values")))
     rows = grid.groupBy("s", "c").agg(row.alias("cells"))
     casts = {"integer": "decimal(38,0)", "decimal": "decimal(38,12)", "date": "date", "boolean": "boolean"}
-    columns, unheld = [], []
+    columns, unheld, beyond = [], [], []
     for a in attributes:
         cell = F.col("cells")[a.place]
         to = casts.get(a.data_type, "string")
         if a.many:
-            columns.append(_casts(cell["values"], to).alias(a.column))
+            columns.append(_casts(cell["values"], a.data_type, to).alias(a.column))
+            if a.data_type in HELD:
+                beyond.append(F.when(_any_beyond(cell["values"], a.data_type), F.lit(a.name)))
         else:
             misfit = (cell["bad"] > 0) | F.coalesce(cell["low"] != cell["high"], F.lit(False))
-            columns.append(F.when(~misfit, cell["low"].try_cast(to)).alias(a.column))
+            columns.append(F.when(~misfit & _held(cell["low"], a.data_type), cell["low"].try_cast(to)).alias(a.column))
+            if a.data_type in HELD:
+                beyond.append(F.when(~misfit & ~_held(cell["low"], a.data_type), F.lit(a.name)))
             unheld.append(F.when(misfit, F.lit(a.name)))
-    return rows.select("s", "c", *columns, F.array_compact(F.array(*unheld).cast("array<string>")).alias("unheld"))
+    listed = {n: F.array_compact(F.array(*names).cast("array<string>")).alias(n) for n, names in (("unheld", unheld), ("beyond", beyond))}
+    return rows.select("s", "c", *columns, *listed.values())
+
+
+def _held(text: Column, data_type: str) -> Column:
+    return text.rlike(HELD[data_type]) if data_type in HELD else F.lit(True)
+
+
+def _any_beyond(values: Column, data_type: str) -> Column:
+    return F.exists(values, lambda x: ~_held(x, data_type))
 
 
-def _casts(values: Column, to: str) -> Column:
-    return F.transform(values, lambda x: x.try_cast(to))
+def _casts(values: Column, data_type: str, to: str) -> Column:
+    return F.transform(values, lambda x: F.when(_held(x, data_type), x.try_cast(to)))
 
 
 def unheld_values(rows: DataFrame) -> DataFrame:

@@ -101,6 +101,17 @@ def test_unheld_values(wide):
     assert sorted(r.p for r in attributes.unheld_values(wide).collect()) == ["ex:b", "ex:d", "ex:day", "ex:n", "ex:s"]
 
 
+def test_digits_beyond_the_columns_are_reported_and_not_rounded(spark, ns):
+    listed = attributes.declared(spark.createDataFrame([("ex:d", "decimal", "one"), ("ex:n", "integer", "one"), ("ex:m", "decimal", "many")], "p string, data_type string, multiplicity string"))
+    texts = ["1.1234567890125", "1.123456789012000", "9" * 27, "-" + "9" * 26 + ".5", "0" * 30 + "7"]
+    rows = [("g", f"res:{k}", p, 0, x) for k, x in enumerate(texts) for p in ("ex:d", "ex:m")] + [("g", "res:5", "ex:n", 0, "9" * 39), ("g", "res:6", "ex:n", 0, "9" * 38)]
+    triples = spark.createDataFrame(rows, "c string, s string, p string, pos int, o string")
+    got = {int(r.s[-1]): r for r in attributes.wide(attributes.cells(triples, listed, ns), listed).collect()}
+    assert [got[k].ex_d for k in (0, 2)] == [None, None] and [got[k].ex_m for k in (0, 2)] == [[None], [None]] and got[5].ex_n is None
+    assert [str(got[k].ex_d) for k in (1, 3, 4)] == ["1.123456789012", "-" + "9" * 26 + ".500000000000", "7.000000000000"] and got[6].ex_n == int("9" * 38)
+    assert [got[k].beyond for k in range(7)] == [["ex:d", "ex:m"], [], ["ex:d", "ex:m"], [], [], ["ex:n"], []] and all(r.unheld == [] for r in got.values())
+
+
 values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=6), x, max_size=4), max_leaves=12)
 
 
