@@ -204,6 +204,26 @@ def view_tables(docs: DataFrame, ns: Namespaces) -> dict[str, DataFrame]:
     return {"views": views, "graphs": ids, "values": values, "bookmarks": bookmarks, "impact_index": entries}
 
 
+def flatten_props(resources: DataFrame) -> DataFrame:
+    """row_id, path, ordinals, kind, value, seq of the members of `props`, as flatten() gives them for JSON."""
+    members = ("p", "pos", "k", "v")
+    fields = F.array(*[F.struct(F.lit(m).alias("m"), F.col("x")[m].cast("string").alias("value")) for m in members])
+    items = resources.select("row_id", F.posexplode("props").alias("no", "x")).select("row_id", "no", F.posexplode(fields).alias("at", "f"))
+    path = F.array(F.lit("props"), F.lit(ITEM), F.col("f.m"))
+    kind = F.when(F.col("f.value").isNull(), "null").when(F.col("f.m") == "pos", "number").otherwise("string")
+    return items.select("row_id", path.alias("path"), F.array("no").alias("ordinals"), kind.alias("kind"), F.col("f.value").alias("value"), (F.col("no") * len(members) + F.col("at")).alias("seq"))
+
+
+def resource_bookmarks(resources: DataFrame, ns: Namespaces) -> DataFrame:
+    """row_id, prop_no, value_no, target_r: the acorn:bookmarkReferences of each row of resources that are URIs, prop_no their
+    place in `props` and value_no among the values of the predicate."""
+    name = F.get("path", F.lit(2))
+    flat = flatten_props(resources).withColumn("prop_no", F.get("ordinals", F.lit(0)))
+    rows = pivot(flat, ["row_id", "prop_no"], {m: name == m for m in ("p", "pos", "k", "v")})
+    rows = rows.where("p = 'acorn:bookmarkReferences' AND k = 'u' AND v IS NOT NULL")
+    return rows.select("row_id", "prop_no", F.col("pos").cast("int").alias("value_no"), ns.canonical(F.col("v")).alias("target_r"))
+
+
 def index_mismatches(tables: dict[str, DataFrame]) -> DataFrame:
     """view_id, r, c: graphs and bookmark targets that the impact index lacks, and index entries that no graph has.
 

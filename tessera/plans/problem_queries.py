@@ -73,6 +73,14 @@ def p4_bookmarks(spark: SparkSession, d: str) -> DataFrame:
     return _views(spark, d)["bookmarks"]
 
 
+def p4_graphs(spark: SparkSession, d: str) -> DataFrame:
+    return _views(spark, d)["graphs"]
+
+
+def p4_resource_bookmarks(spark: SparkSession, d: str) -> DataFrame:
+    return nested.resource_bookmarks(read(spark, d, "resources"), _ns(spark, d))
+
+
 def p4_impact_index(spark: SparkSession, d: str) -> DataFrame:
     return _views(spark, d)["impact_index"]
 
@@ -92,7 +100,7 @@ def p5_median_day(spark: SparkSession, d: str) -> DataFrame:
     return skew.weighted_percentile(rows, keys, "day", 0.5).select(*keys, F.col("day").cast("string").alias("median_day"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_wide, p4_found, p4_views, p4_values, p4_bookmarks, p4_impact_index, p5_found, p5_statistics, p5_median_day)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_wide, p4_found, p4_views, p4_values, p4_bookmarks, p4_graphs, p4_resource_bookmarks, p4_impact_index, p5_found, p5_statistics, p5_median_day)}
 
 
 def _p1_sql(tail: str) -> str:

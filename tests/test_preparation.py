@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.operators import attributes, nested, references, skew, timestamps
+from tessera.plans import problem_queries
 
 RES = "row_id bigint, id struct<r:string,c:string>, props array<struct<p:string,pos:int,k:string,v:string>>, _version bigint, _cts timestamp, arrived_at timestamp, deleted_at timestamp, r string, c string, target_r string"
 PARENT = "row_id bigint, id struct<r:string,c:string>, _version bigint, arrived_at timestamp, deleted_at timestamp, p string"
@@ -167,6 +168,16 @@ def test_view_tables(spark, ns):
     assert nested.index_mismatches(empty).count() == 0
 
 
+def test_bookmarks_of_resources(spark, ns):
+    mark = "acorn:bookmarkReferences"
+    props = {1: [("dct:title", 0, "l", "x"), (mark, 0, "u", "res:2"), (mark, 1, "u", "http://A.example/items/2/"), (mark, 2, "l", "res:3"), (mark, 3, "u", None)], 2: None, 3: [], 4: [(mark, None, "u", "res:2"), None]}
+    resources = spark.createDataFrame(list(props.items()), "row_id bigint, props array<struct<p:string,pos:int,k:string,v:string>>")
+    got = sorted((r.row_id, r.prop_no, r.value_no, r.target_r) for r in nested.resource_bookmarks(resources, ns).collect())
+    target = got[0][3]
+    assert got == [(1, 1, 0, target), (1, 2, 1, target), (4, 0, None, target)] and target.endswith("/items/2")
+    assert {"p4_graphs", "p4_resource_bookmarks"} <= problem_queries.QUERIES.keys()
+
+
 def test_skewed_keys(spark, ns, at):
     def row(n, graph, *types, k="u", day=1):
         return (n, ("res:1", graph) if graph else None, [("rdf:type", i, k, t) for i, t in enumerate(types)] if types else None, 1, at(day), at(1), None, "", "", "")
