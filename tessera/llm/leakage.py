@@ -4,7 +4,7 @@ Every shard (a slice of one partition) gets the sorted array of its suffixes at
 looked up in it by binary search. Every verbatim run that is long enough to be part of a leak is aligned exactly.
 
 Texts are compared as streams of letters and digits: case, accents, punctuation, white space, line breaks, look-alike
-characters, page headers and paragraph numbers aren't in them.
+characters, page headers and paragraph numbers aren't in them. Letters of every script are told apart.
 """
 
 from __future__ import annotations
@@ -29,46 +29,75 @@ SHARD_CHARS = 1_500_000
 ITEM_CHARS = 4_000_000
 #: Pairs of suffix and place that are compared at once.
 PAIRS = 1_000_000
-_BASE, _WIDTH, _PAD = 40, 12, 64
+#: Words that stand before the number of a page, without accents.
+PAGE_WORDS = ("page", "seite", "pagina", "sida", "strona")
+#: Codes: 1 to 26 a to z, 27 to 36 digits, 37 to 71 the four places of the number of any other letter.
+_BASE, _WIDTH, _PAD = 72, 10, 64
+_FAR, _FARS = 37, 35
+MEASURES = ("words", "altered", "first_word", "verbatim", "begins_at", "ends_at")
 _HARD, _SOFT = 0, 255
+_DASH, _BLANK, _OPEN, _CLOSE, _HYPHEN = 1, 2, 4, 8, 16
 
 
-_DASH, _BLANK, _OPEN, _CLOSE, _HYPHEN, _JOINS = 1, 2, 4, 8, 16, 32
+def _code(letter: str) -> list[int]:
+    if "a" <= letter <= "z":
+        return [ord(letter) - 96]
+    if "0" <= letter <= "9":
+        return [ord(letter) - 21]
+    point = ord(letter)
+    return [_FAR + point // _FARS**k % _FARS for k in (3, 2, 1, 0)]
 
 
-@cache
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """The code of each code point (1 to 36 letters and digits, 37 to 39 other letters, 0 what parts words, 255 what
-    doesn't), and what else it is."""
-    codes, flags = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
-    alike = lookalike._single()
-    soft = set(lookalike.INVISIBLE)
-    for point in range(0x30000):
-        letter = chr(point)
-        if letter in soft:
-            codes[point] = _SOFT
-            continue
+class Letters:
+    """The codes of each code point that has been asked for, and what else it is.
+
+    A letter is its base letters without accents, in lower case; a look-alike is the letter it is drawn like. What parts words
+    is 0, what doesn't is 255. Only characters that occur are looked up, each once in a worker.
+    """
+
+    def __init__(self, alike: dict[str, str]) -> None:
+        self.alike = alike
+        self.known = np.zeros(0x110000, bool)
+        self.first, self.count, self.flags = (np.zeros(0x110000, np.uint8) for _ in range(3))
+        self.offset = np.zeros(0x110000, np.int32)
+        self.store = np.zeros(0, np.uint8)
+        self.marks = {}
+        for text, flag in (("[(\u00b6\u00a7", _OPEN), ("]).:", _CLOSE), ("-\u2010\u00ac", _HYPHEN), ("\t\r", _BLANK)):
+            for letter in text:
+                for form in (letter, chr(ord(letter) + 0xFEE0)) if "!" <= letter <= "~" else (letter,):
+                    self.marks[form] = self.marks.get(form, 0) | flag
+
+    def learn(self, points: np.ndarray) -> None:
+        """Looks up the code points that aren't known yet."""
+        more = []
+        for point in np.unique(points[~self.known[points]]).tolist():
+            codes = self._codes(chr(point))
+            self.first[point], self.count[point] = codes[0], len(codes)
+            self.offset[point] = len(self.store) + len(more)
+            self.flags[point] = self._flags(chr(point))
+            more += codes
+        self.known[points] = True
+        self.store = np.concatenate([self.store, np.array(more, np.uint8)])
+
+    def _codes(self, letter: str) -> list[int]:
         kind = unicodedata.category(letter)
-        if kind[0] == "M":
-            codes[point] = _SOFT
-        elif kind[0] in "LN":
-            base = unicodedata.normalize("NFKD", alike.get(letter, letter)).lower()[:1] or letter
-            if "a" <= base <= "z":
-                codes[point] = ord(base) - 96
-            elif "0" <= base <= "9":
-                codes[point] = ord(base) - 21
-            else:
-                codes[point] = 37 + ord(base) % 3
-        elif kind == "Pd":
-            flags[point] |= _DASH
-        if kind == "Zs" or letter in "\t\r":
-            flags[point] |= _BLANK
-    for text, flag in (("[(\u00b6\u00a7", _OPEN), ("]).:", _CLOSE), ("-\u2010\u00ac", _HYPHEN), ("".join(lookalike._joined()), _JOINS)):
-        for letter in text:
-            flags[ord(letter)] |= flag
-            if 0x21 <= ord(letter) <= 0x7E:
-                flags[ord(letter) + 0xFEE0] |= flag
-    return codes, flags
+        if kind[0] == "M" or letter in lookalike.INVISIBLE:
+            return [_SOFT]
+        if kind[0] not in "LN":
+            return [_HARD]
+        plain = unicodedata.normalize("NFKD", self.alike.get(letter, letter)).lower()
+        base = [self.alike.get(x, x) for x in plain if unicodedata.category(x)[0] in "LN"]
+        return [code for x in base or [letter] for code in _code(x)]
+
+    def _flags(self, letter: str) -> int:
+        kind = unicodedata.category(letter)
+        return self.marks.get(letter, 0) | (_DASH if kind == "Pd" else 0) | (_BLANK if kind == "Zs" else 0)
+
+
+@cache
+def letters_of(alike: tuple[tuple[str, str], ...]) -> Letters:
+    """One table in each worker."""
+    return Letters(dict(alike))
 
 
 @dataclass
@@ -79,9 +108,11 @@ class Stream:
     begins: np.ndarray
     text_of: np.ndarray
     keys: np.ndarray
+    #: The character of its text that each letter comes from.
+    source: np.ndarray
 
     def key_of_prefix(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """The first `length` (at most 12) letters from each place on, as a number."""
+        """The first `length` (at most 10) letters from each place on, as a number."""
         return self.keys[at] // _POWERS[_WIDTH - length]
 
 
@@ -89,16 +120,16 @@ _POWERS = np.array([_BASE**k for k in range(_WIDTH + 1)], np.uint64)
 
 
 def _keys(letters: np.ndarray) -> np.ndarray:
-    """The 12 letters from each place on, as one number of base 40."""
+    """The 10 letters from each place on, as one number."""
     padded = np.concatenate([letters, np.zeros(_WIDTH, np.uint8)]).astype(np.uint64)
     two = padded[:-1] * np.uint64(_BASE) + padded[1:]
     four = two[:-2] * _POWERS[2] + two[2:]
     eight = four[:-4] * _POWERS[4] + four[4:]
-    return (eight[:-4] * _POWERS[4] + four[8:])[: len(letters)]
+    return (eight[:-2] * _POWERS[2] + two[8:])[: len(letters)]
 
 
 def _drop_furniture(points: np.ndarray, codes: np.ndarray, flags: np.ndarray, starts: np.ndarray) -> None:
-    """Takes page headers (lines with two dashes that end in `page` and a number) and numbers of paragraphs out of codes."""
+    """Takes page headers (lines with two dashes that end in a word for page and a number) and numbers of paragraphs out of codes."""
     n = len(points)
     lines = np.unique(np.concatenate([starts[starts < n], np.flatnonzero(points[:-1] == 10) + 1]))
     ends = np.append(lines[1:], n)
@@ -109,7 +140,7 @@ def _drop_furniture(points: np.ndarray, codes: np.ndarray, flags: np.ndarray, st
         digits = 0
         while digits < len(seen) and 27 <= seen[-1 - digits] <= 36:
             digits += 1
-        if 0 < digits < 7 and seen[: len(seen) - digits][-4:].tobytes() == _PAGE:
+        if 0 < digits < 7 and seen[: len(seen) - digits].tobytes().endswith(_PAGES):
             line[:] = _HARD
     # A number of up to three digits at the beginning of a line, with a mark before or behind it.
     at, opened = lines.copy(), np.zeros(len(lines), bool)
@@ -130,26 +161,17 @@ def _drop_furniture(points: np.ndarray, codes: np.ndarray, flags: np.ndarray, st
         codes[at[number & (run > k)] + k] = _HARD
 
 
-_PAGE = bytes(ord(x) - 96 for x in "page")
+_PAGES = tuple(bytes(ord(x) - 96 for x in word) for word in PAGE_WORDS)
 
 
-def stream(texts: list[str | None], furniture: bool, words_by_blanks: bool = False) -> Stream:
+def stream(table: Letters, texts: list[str | None], furniture: bool, words_by_blanks: bool = False) -> Stream:
     """The stream of texts. words_by_blanks: only white space parts words, as in items."""
     bodies = [t or "" for t in texts]
-    code_table, flag_table = _tables()
     points = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(b) for b in bodies], np.int64)
-    flags = flag_table[points]
-    joined = np.flatnonzero(flags & _JOINS)
-    if len(joined):
-        for k in np.unique(np.searchsorted(np.cumsum(lengths), joined, side="right")):
-            for one, letters in lookalike._joined().items():
-                bodies[k] = bodies[k].replace(one, letters)
-        points = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.array([len(b) for b in bodies], np.int64)
-        flags = flag_table[points]
     starts = np.cumsum(lengths) - lengths
-    codes = code_table[points]
+    table.learn(points)
+    flags, codes = table.flags[points], table.first[points]
     # A hyphen at the end of a line parts no word.
     if len(points):
         breaks = np.flatnonzero(points[1:] == 10)
@@ -169,21 +191,38 @@ def stream(texts: list[str | None], furniture: bool, words_by_blanks: bool = Fal
     new_text[1:] = owner[1:] != owner[:-1]
     begins = new_text.copy()
     begins[1:] |= gaps[1:] != gaps[:-1]
+    found = codes[kept]
+    size = table.count[points[kept]].astype(np.int64)
+    if len(kept) and size.max() > 1:
+        # Letters of more than one code.
+        first = np.cumsum(size) - size
+        inner = np.arange(size.sum()) - np.repeat(first, size)
+        kept = np.repeat(kept, size)
+        found = table.store[table.offset[points[kept]] + inner]
+        owner = np.repeat(owner, size)
+        one = np.zeros(len(kept), bool)
+        one[first] = new_text
+        new_text = one
+        one = np.zeros(len(kept), bool)
+        one[first] = begins
+        begins = one
     # One 0 goes before each text that has letters.
     at = np.arange(len(kept)) + np.cumsum(new_text)
     letters = np.zeros(len(kept) + int(new_text.sum()) + _PAD, np.uint8)
-    letters[at] = codes[kept]
+    letters[at] = found
     text_of = np.full(len(letters), -1, np.int32)
     text_of[at] = owner
-    return Stream(letters, at[begins], text_of, _keys(letters))
+    source = np.zeros(len(letters), np.int64)
+    source[at] = kept - starts[owner]
+    return Stream(letters, at[begins], text_of, _keys(letters), source)
 
 
 class Items:
-    """Items as streams in both directions, their words, and the sorted keys of their suffixes."""
+    """Items as a stream, their words, and the sorted keys of their suffixes."""
 
-    def __init__(self, ids: list, texts: list[str | None], least_run: int) -> None:
-        self.ids = ids
-        self.forward = stream(texts, furniture=False, words_by_blanks=True)
+    def __init__(self, table: Letters, ids: list, texts: list[str | None], least_run: int) -> None:
+        self.ids, self.table = ids, table
+        self.forward = stream(table, texts, furniture=False, words_by_blanks=True)
         self.begins = self.forward.begins
         self.item_of = self.forward.text_of[self.begins]
         n = len(self.begins)
@@ -212,8 +251,8 @@ class Items:
 
 
 def suffix_array(s: Stream, at: np.ndarray, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """The order of the suffixes from the places `at` on by their first `depth` (at most 24) letters, and in that order those
-    letters, as a number of the first 12 and one of the rest."""
+    """The order of the suffixes from the places `at` on by their first `depth` (at most 20) letters, and in that order those
+    letters, as a number of the first 10 and one of the rest."""
     first = s.keys[at] // _POWERS[max(_WIDTH - depth, 0)]
     second = s.keys[np.minimum(at + _WIDTH, len(s.keys) - 1)] // _POWERS[min(2 * _WIDTH - depth, _WIDTH)]
     order = np.lexsort((second, first))
@@ -340,53 +379,110 @@ class Alignment:
                         found[to][z] = altered + more
         return {(row, y) for row, ys in enumerate(found) for y in ys}
 
-    def longest(self, words: list[bytes], text: int, seeds: list[tuple[int, int]]) -> tuple[int, int, int] | None:
-        """(words, altered, first word) of the passage with most verbatim words under the rule through one of the seeds, None if
-        there is none."""
+    def runs(self, words: list[bytes], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+        """(first row, row behind the last, place, place behind it) of the verbatim runs that the seeds lie in, each as long as it is."""
+        letters, out, have = self.letters, set(), set(seeds)
+        for a, y in seeds:
+            if a and (a - 1, y - len(words[a - 1])) in have:
+                continue
+            b, z = a, y
+            while b < len(words) and letters.startswith(words[b], z):
+                z += len(words[b])
+                b += 1
+            while a and y >= len(words[a - 1]) and letters.startswith(words[a - 1], y - len(words[a - 1])):
+                a -= 1
+                y -= len(words[a])
+            out.add((a, b, y, z))
+        return sorted(out, key=lambda r: r[2])
+
+    def promising(self, words: list[bytes], run: tuple[int, int, int, int], widest: int) -> bool:
+        """False only where no passage under the rule goes through the run: too many words of the item don't occur at all where
+        an alignment could reach them. widest: the letters of the text's longest word."""
+        (a, b, y, z), n, rule, letters = run, len(words), self.rule, self.letters
+        most = n // rule.altered_in
+        # How many rows go onward and back with each number of missing words. An alignment passes the letters of the rows and
+        # two words of the text for each altered row, and one for each row.
+        onward, back, passed = [], [], 0
+        for row in range(b, n):
+            passed += len(words[row])
+            if letters.find(words[row], z, z + passed + (2 * most + row - b + 1) * widest) < 0:
+                onward.append(row - b)
+                if len(onward) > most:
+                    break
+        else:
+            onward.append(n - b)
+        passed = 0
+        for row in range(a - 1, -1, -1):
+            passed += len(words[row])
+            if letters.find(words[row], max(y - passed - (2 * most + a - row) * widest, 0), y) < 0:
+                back.append(a - 1 - row)
+                if len(back) > most:
+                    break
+        else:
+            back.append(a)
+        return any(b - a + p + q >= max(rule.words, rule.altered_in * (e + f)) for e, p in enumerate(onward) for f, q in enumerate(back))
+
+    def is_begin(self, y: int, end: int) -> bool:
+        k = bisect_left(self.begins, y)
+        return k < end and self.begins[k] == y
+
+    def longest(self, words: list[bytes], text: int, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int, int, int] | None:
+        """(words, altered, first word, place, place behind, words of the longest verbatim run) of the passage with most verbatim
+        words under the rule through one of the seeds, None if there is none."""
         rule, n = self.rule, len(words)
         first, end = (int(x) for x in np.searchsorted(self.owner, [text, text + 1]))
-        best: tuple[int, int, int] | None = None
-        # Seeds far from each other are followed apart, so that what is held stays small.
-        seeds, span, at = sorted(seeds, key=lambda s: s[1]), 4 * sum(map(len, words)), 0
-        while at < len(seeds) and (best is None or best[:2] != (n, 0)):
+        runs = self.runs(words, seeds)
+        for a, b, y, z in runs:
+            if b - a == n and self.is_begin(y, end) and (not self.letters[z] or self.is_begin(z, end)):
+                return n, 0, 0, y, z, n
+        marks = [*self.begins[first:end], self.letters.index(0, self.begins[end - 1])]
+        widest = max(y - x for x, y in zip(marks, marks[1:], strict=False))
+        runs = [r for r in runs if self.promising(words, r, widest)]
+        if not runs:
+            return None
+        best: tuple[int, int, int, int, int] | None = None
+        # Runs far from each other are followed apart, so that what is held stays small.
+        span, at = 4 * sum(map(len, words)), 0
+        while at < len(runs):
             upto = at
-            while upto < len(seeds) and seeds[upto][1] <= seeds[at][1] + span:
+            while upto < len(runs) and runs[upto][2] <= runs[at][2] + span:
                 upto += 1
-            mine, at = set(seeds[at:upto]), upto
+            mine, at = {(r[0], r[2]) for r in runs[at:upto]}, upto
             most = n // rule.altered_in
             points = self.reached(self.onward, words, mine, most, end, range(n)) | self.reached(self.back, words, mine, most, first, range(n - 1, -1, -1))
-            # The least altered words of a chain from each first word to each point.
-            none = np.full(n, n + 1, np.int32)
+            # The least altered words of a chain from each first word to each point, and where it begins.
+            none = np.full(n, n + 1, np.int32), np.zeros(n, np.int64)
             least = dict.fromkeys(points, none)
             rows = np.arange(n)
             for row, y in sorted(points):
-                here = least[row, y]
-                k = bisect_left(self.begins, y)
-                if k < end and self.begins[k] == y:
-                    here = here.copy()
-                    here[row] = 0
+                here, place = least[row, y]
+                if self.is_begin(y, end):
+                    here, place = here.copy(), place.copy()
+                    here[row], place[row] = 0, y
                 if here.min() > most:
                     continue
                 for to, z, altered in self.onward(words, row, y, most, end):
                     if (to, z) in least:
-                        least[to, z] = np.minimum(least[to, z], here + altered)
+                        there, begun = least[to, z]
+                        better = here + altered < there
+                        least[to, z] = np.where(better, here + altered, there), np.where(better, place, begun)
                 y += len(words[row])
-                k = bisect_left(self.begins, y)
-                if self.letters[y] and not (k < end and self.begins[k] == y):
+                if self.letters[y] and not self.is_begin(y, end):
                     continue
                 size = row + 1 - rows
                 good = np.flatnonzero((size >= rule.words) & (here * rule.altered_in <= size))
                 if len(good):
                     a = int(good[np.argmax((size - here)[good])])
-                    found = (int(size[a]), int(here[a]), a)
+                    found = (int(size[a]), int(here[a]), a, int(place[a]), y)
                     if best is None or (found[0] - found[1], found[0]) > (best[0] - best[1], best[0]):
                         best = found
-        return best
+        return best and (*best, max(b - a for a, b, *_ in runs))
 
 
-def search(items: Items, texts: list[str | None], rule: Rule) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, words, altered, first word) of every leak in a shard."""
-    doc = stream(texts, furniture=True)
+def search(items: Items, texts: list[str | None], rule: Rule) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """(text, item, words, altered, first word, words of the longest verbatim run, first character, character behind the last) of
+    every leak in a shard."""
+    doc = stream(items.table, texts, furniture=True)
     if not len(doc.begins) or not len(items.seeds):
         return []
     # The suffix array of the shard: word beginnings in the order of their letters, to the depth of the items' keys.
@@ -422,12 +518,14 @@ def search(items: Items, texts: list[str | None], rule: Rule) -> list[tuple[int,
             known[i] = items.words(i)
         best = alignment.longest(known[i], t, found)
         if best:
-            out.append((t, i, *best))
+            words, altered, first_word, begin, end, verbatim = best
+            out.append((t, i, words, altered, first_word, verbatim, int(doc.source[begin]), int(doc.source[end - 1]) + 1))
     return out
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule | None = None) -> DataFrame:
-    """key, item_id, words, altered, first_word: documents that hold a passage of an item, with the longest passage.
+    """key, item_id, words, altered, first_word, verbatim, begins_at, ends_at: documents that hold a passage of an item, with the
+    longest passage, the words of its longest verbatim run, and where it stands in the text (characters from 0 on).
 
     At least `rule.words` consecutive words of the item, of which up to one in `rule.altered_in` may be altered or blacked
     out. Null and empty texts hold none, null and short items leak into none. Items are held in each worker as far as
@@ -436,7 +534,8 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     rule = rule or Rule()
     chars = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-int(chars) // ITEM_CHARS))
-    kinds = f"`{key}` {documents.schema[key].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, words int, altered int, first_word int"
+    kinds = f"`{key}` {documents.schema[key].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, words int, altered int, first_word int, verbatim int, begins_at int, ends_at int"
+    alike = tuple(sorted(lookalike.alike(documents.sparkSession).items()))
 
     def one(block: int) -> DataFrame:
         chosen = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select("item_id", "text").where("text IS NOT NULL")
@@ -444,14 +543,14 @@ def leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
         ids, bodies = [r["item_id"] for r in rows], [r["text"] for r in rows]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(ids, bodies, rule.least_run)
+            items = Items(letters_of(alike), ids, bodies, rule.least_run)
             for batch in batches:
                 for first, end in parts(batch.column(1), SHARD_CHARS):
                     part = batch.slice(first, end - first)
                     found = search(items, part.column(1).to_pylist(), rule)
                     names = part.column(0)
-                    columns = [names.take(pa.array([f[0] for f in found], pa.int64())), pa.array([ids[f[1]] for f in found], item_type), *[pa.array([f[k] for f in found], pa.int32()) for k in (2, 3, 4)]]
-                    yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", "words", "altered", "first_word"])
+                    columns = [names.take(pa.array([f[0] for f in found], pa.int64())), pa.array([ids[f[1]] for f in found], item_type), *[pa.array([f[k] for f in found], pa.int32()) for k in range(2, 8)]]
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "item_id", *MEASURES])
 
         return documents.select(key, text).mapInArrow(run, kinds)
 

@@ -63,7 +63,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_classes(spark: SparkSession, d: str) -> DataFrame:
-    return lookalike.classes(read(spark, d, "documents"))[0].select("doc_id", "class_id")
+    return lookalike.sized(*lookalike.classes(read(spark, d, "documents")))
 
 
 def p9_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -85,19 +85,49 @@ marked AS (SELECT *, CASE WHEN records = 1 THEN 'rare' WHEN records > {COMMON_AB
 """
 
 
-def _p9_sql() -> str:
+#: How letters of other scripts are drawn, in pairs; written down by hand, so that the SQL shares no table with the
+#: operator.
+_DRAWN_ALIKE = (
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ѵv"
+)
+_BLANKS = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\t"
+_PRINTS_NOTHING = "\u00ad\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff"
+
+
+def _p9_sql(result: str) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    single = lookalike._single()
-    form = f"translate(text, {quote(''.join(single))}, {quote(''.join(single.values()))})"
-    for joined, letters in lookalike._joined().items():
-        form = f"replace({form}, {quote(joined)}, {quote(letters)})"
-    form = f"nfc_normalize(regexp_replace({form}, '[{lookalike.INVISIBLE}]+', '', 'g'))"
-    return f"""WITH forms AS (SELECT doc_id, text, {form} AS form FROM documents WHERE text <> '')
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"""
+    drawn = [pair[0] for pair in _DRAWN_ALIKE.split()], [pair[1] for pair in _DRAWN_ALIKE.split()]
+    wide = [chr(p) for p in range(0xFF01, 0xFF5F)], [chr(p) for p in range(0x21, 0x7F)]
+    one, other = "".join([*drawn[0], *wide[0], *_BLANKS]), "".join([*drawn[1], *wide[1]]) + " " * len(_BLANKS)
+    form = "text"
+    for joined, letters in {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "\u017ft", "\ufb06": "st", "\u0132": "IJ", "\u0133": "ij"}.items():
+        form = f"replace({form}, '{joined}', '{letters}')"
+    # Separate accents are joined before and after letters are replaced.
+    form = f"nfd(regexp_replace({form}, '[{_PRINTS_NOTHING}]+', '', 'g'))".replace("nfd(", "nfc_normalize(")
+    accents = "áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ"
+    import unicodedata
+
+    composed = {}
+    for pair in _DRAWN_ALIKE.split():
+        for letter in accents:
+            parts = unicodedata.normalize("NFD", letter)
+            if parts[0] == pair[1]:
+                made = unicodedata.normalize("NFC", pair[0] + parts[1:])
+                if len(made) == 1:
+                    composed[made] = letter
+    form = f"translate({form}, {quote(one + ''.join(composed))}, {quote(other + ''.join(composed.values()))})"
+    form = f"nfc_normalize({form})"
+    return f"WITH forms AS (SELECT doc_id, text, {form} AS form FROM documents WHERE text <> '') {result}"
+
+
+_P9_CLASSES = """, classes AS (SELECT form, arg_min(doc_id, (strlen(text), text, doc_id)) AS class_id, count(*) AS documents, count(DISTINCT text) AS texts
+FROM forms GROUP BY form HAVING count(DISTINCT text) > 1)"""
 
 
 SQL = {
     "p6_found": _P6 + "SELECT term, mark FROM marked WHERE mark IS NOT NULL",
     "p6_terms": _P6 + "SELECT * FROM marked",
-    "p9_found": _p9_sql(),
+    "p9_found": _p9_sql("SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"),
+    "p9_classes": _p9_sql(_P9_CLASSES + " SELECT doc_id, class_id, documents, texts FROM forms JOIN classes USING (form)"),
+    "p9_texts": _p9_sql(_P9_CLASSES + " SELECT f.doc_id AS doc_id, class_id, coalesce(g.form, f.form) AS text FROM forms f LEFT JOIN classes USING (form) LEFT JOIN forms g ON g.doc_id = class_id UNION ALL SELECT doc_id, NULL, text FROM documents WHERE text IS NULL OR text = ''"),
 }

@@ -37,6 +37,14 @@ def test_encode_a_table(spark, monkeypatch):
     assert tokenize.encode(rows.limit(0), "doc_id", "text", VOCABULARY).count() == 0
 
 
+TABLES = []
+
+
+@pytest.fixture(autouse=True, scope="module")
+def letters(spark):
+    TABLES[:] = [leakage.Letters(lookalike.alike(spark))]
+
+
 def test_terms(spark):
     rows = [(0, 1, ["The the théorie", "the x2"]), (0, 2, ["the"]), (1, 1, ["THE: x2", None]), (0, 3, ["..."]), (0, 4, ["z" * 30000])] + [(1, 100 + n, ["hot"]) for n in range(200)]
     documents = spark.createDataFrame(rows, "source int, record bigint, titles array<string>")
@@ -53,10 +61,18 @@ def test_current_titles_only(spark, ns, at):
     assert sorted((r.source, r.titles[0]) for r in terms.titles(resources, sea, ns).collect()) == [(0, "new"), (1, "sea")]
 
 
+def printed(x):
+    """What a character prints as, by the operator's tables."""
+    few, many = lookalike._joined()
+    return {**lookalike._widths(), **TABLES[0].alike, **few, **many}.get(x, x)
+
+
 def plain_form(text):
-    single, joined = lookalike._single(), lookalike._joined()
-    text = "".join(joined.get(x, single.get(x, x)) for x in text)
-    return unicodedata.normalize("NFC", "".join(x for x in text if x not in lookalike.INVISIBLE))
+    """By hand: accents joined, a few letters of other scripts, full and half width, joined letters, blanks, what prints nothing."""
+    hand = dict(zip("сМοаＡＢﾊﾟア\u3000\u00a0\u2009\tᎪꓐ", ["c", "M", "o", "a", "A", "B", "ハ", "\u309a", "ア", " ", " ", " ", " ", "A", "B"], strict=False))
+    text = "".join({**hand, "ｱ": "ア", "ﬁ": "fi", "ﾡ": "ᄀ", "Ⅷ": "VIII", "Ё": "Ë"}.get(x, x) for x in text)
+    text = "".join(chr(ord(x) - 0xFEE0) if "\uff01" <= x <= "\uff5e" else x for x in text)
+    return unicodedata.normalize("NFC", "".join(x for x in text if x not in "\u200b\u00ad\u200d\ufeff\u2060"))
 
 
 LOOKS = [
@@ -81,21 +97,58 @@ def test_lookalikes_equal_brute_force(spark):
 
 def test_signatures_are_equal_where_the_collation_is(spark):
     """Every character that has a canonical decomposition or another printed form, against that form."""
-    form = lambda x: unicodedata.normalize("NFD", lookalike._joined().get(x, lookalike._single().get(x, x)))
-    points = [chr(p) for p in range(0x80, 0x110000) if not 0xAC00 <= p < 0xE000]
+    form = lambda x: unicodedata.normalize("NFD", printed(x))
+    points = [x for x, *_ in lookalike._kinds()]
     rows = spark.createDataFrame([(x, f"a{x}b", f"a{form(x)}b") for x in points if form(x) != x], "x string, one string, other string")
-    equal = F.collate(lookalike.mapped(F.col("one")), lookalike.COLLATION) == F.collate(lookalike.mapped(F.col("other")), lookalike.COLLATION)
-    found = rows.select("x", equal.alias("equal"), (lookalike.signature(F.col("one")) == lookalike.signature(F.col("other"))).alias("same")).where("equal").collect()
+    alike = TABLES[0].alike
+    mapped = lambda c: F.collate(lookalike.mapped(F.col(c), alike), lookalike.COLLATION)
+    sign = lambda c: lookalike.signature(F.col(c), alike)
+    found = rows.select("x", (mapped("one") == mapped("other")).alias("equal"), (sign("one") == sign("other")).alias("same")).where("equal").collect()
     assert {"\u2260", "\u226e", "\u226f", "\u037e", "\u1fef", "\u00e9", "\uffe3"} <= {r.x for r in found}
     assert [r.x for r in found if not r.same] == []
 
 
+def test_letters_that_count_in_a_signature_differ_under_the_collation(spark):
+    """Every kept letter between two others, by its collation key: none equals another, so a signature parts no equal texts."""
+    import re
+
+    drop = re.compile(re.sub(r"\\x\{(\w+)\}", lambda m: chr(int(m[1], 16)), lookalike._kept()))
+    kept = [x for x, *_ in lookalike._kinds() if not drop.match(x)]
+    assert len(kept) > 27_000
+    rows = spark.createDataFrame([(x, f"a{x}b") for x in kept], "x string, t string")
+    alike = TABLES[0].alike
+    form = F.collate(lookalike.mapped(F.col("t"), alike), lookalike.COLLATION)
+    groups = rows.select("x", form.alias("form"), lookalike.signature(F.col("t"), alike).alias("sig")).groupBy("form").agg(F.count_distinct("sig").alias("n"), F.collect_list("x").alias("xs")).where("n > 1").select("n", "xs").collect()
+    assert groups == []
+
+
+def test_texts_without_class_and_without_ascii_are_spread(spark):
+    """10,000 unclassed texts and 10,000 texts of other scripts: no task gets more than twice its share."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 10_000, F.concat(F.lit("text "), "id")).otherwise(F.expr("concat(chr(0), translate(cast(id as string), '0123456789', '中文字日本語漢仮名交'))")).alias("text"))
+    letters = TABLES[0].alike
+    sigs = rows.select(lookalike.signature(F.col("text"), letters).alias("sig")).distinct().count()
+    assert sigs == 20_000
+    out = lookalike.canonical_texts(rows, lookalike.classes(rows)[0])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / len(sizes)
+
+
+def test_only_what_prints_the_same_is_mapped(spark):
+    alike = TABLES[0].alike
+    assert {"а": "a", "Е": "E", "ѕ": "s", "ο": "o", "Η": "H", "Ꭺ": "A", "ꓐ": "B", "ё": "ë"}.items() <= alike.items()
+    assert not {"ж", "я", "Ω", "λ", "ß", "æ", "ı"} & alike.keys() and all(x not in alike for x in "éüñ")
+
+
 WORDS = [f"w{chr(97 + n % 26)}{chr(97 + n // 26)}ord" for n in range(400)]
 ITEM = WORDS[:60]
 
 
 def leaked(text, spark=None):
-    items = leakage.Items([7], [" ".join(ITEM)], leakage.Rule().least_run)
+    items = leakage.Items(TABLES[0], [7], [" ".join(ITEM)], leakage.Rule().least_run)
     return [(i, n) for _, i, n, *_ in leakage.search(items, [text], leakage.Rule())]
 
 
@@ -133,12 +186,12 @@ def test_leaks_equal_a_plain_search():
     """Random passages of random lengths without changes: found from 25 words on, with their length."""
     draw = random.Random(5)
     items = [[draw.choice(WORDS) for _ in range(80)] for _ in range(10)]
-    held = leakage.Items(list(range(10)), [" ".join(i) for i in items], leakage.Rule().least_run)
+    held = leakage.Items(TABLES[0], list(range(10)), [" ".join(i) for i in items], leakage.Rule().least_run)
     for _ in range(60):
         which, size = draw.randrange(10), draw.randint(15, 60)
         start = draw.randrange(80 - size + 1)
         text = " ".join(["before"] * 20 + items[which][start : start + size] + ["after"] * 20)
-        got = [(i, n, first) for _, i, n, _, first in leakage.search(held, [text], leakage.Rule())]
+        got = [(i, n, first) for _, i, n, _, first, *_ in leakage.search(held, [text], leakage.Rule())]
         assert got == ([(which, size, start)] if size >= 25 else [])
 
 
@@ -175,8 +228,8 @@ def test_leaks_with_altered_words_equal_brute_force():
         for k in range(cluster, cluster + some) if draw.random() < 0.5 else draw.sample(range(1, size - 1), some):
             body[k] = draw.choice([[], ["the"], ["x" * 30], ["of", "y" * 40]])
         text = ["the", "of"] * 5 + [w for words in body for w in words] + ["a", "the"] * 5
-        held = leakage.Items([0], [" ".join(item)], rule.least_run)
-        got = [(n - altered, n) for _, _, n, altered, _ in leakage.search(held, [" ".join(text)], rule)]
+        held = leakage.Items(TABLES[0], [0], [" ".join(item)], rule.least_run)
+        got = [(n - altered, n) for _, _, n, altered, *_ in leakage.search(held, [" ".join(text)], rule)]
         want = brute_force(item, text, rule)
         seen += want > (0, 0)
         assert got == ([want] if want > (0, 0) else []), (item, text)
@@ -186,7 +239,7 @@ def test_leaks_with_altered_words_equal_brute_force():
 def test_leaks_in_words_that_the_text_parts_otherwise():
     """A word is the same wherever the text parts it, and no part of a longer word."""
     item = [f"{w}'s" if k % 4 == 0 else w for k, w in enumerate(ITEM)]
-    items = leakage.Items([0], [" ".join(item)], leakage.Rule().least_run)
+    items = leakage.Items(TABLES[0], [0], [" ".join(item)], leakage.Rule().least_run)
     found = lambda text: [n for _, _, n, *_ in leakage.search(items, [text], leakage.Rule())]
     assert found(" ".join(item[:30])) == [30]
     assert found(" ".join(w[:3] + "\n" + w[3:] for w in item[:30])) == [30]
@@ -197,8 +250,8 @@ def test_leaks_in_words_that_the_text_parts_otherwise():
 def test_suffix_array_is_in_the_order_of_the_letters():
     draw = random.Random(3)
     texts = [" ".join("".join(draw.choice("ab") for _ in range(draw.randint(1, 4))) for _ in range(60)) for _ in range(20)]
-    stream = leakage.stream(texts, furniture=False)
-    for depth in (7, 12, 17, 24):
+    stream = leakage.stream(TABLES[0], texts, furniture=False)
+    for depth in (7, 10, 17, 20):
         order, keys = leakage.suffix_array(stream, stream.begins, depth)
         prefixes = [stream.letters[p : p + depth].tobytes() for p in stream.begins[order]]
         assert prefixes == sorted(prefixes)
@@ -208,8 +261,39 @@ def test_suffix_array_is_in_the_order_of_the_letters():
     assert all(a == b or (keys[0][a], keys[1][a]) == (k + 1, m + 1) for a, b, k, m in zip(*nothing, *keys, strict=True))
 
 
+def test_leaks_with_gaps_that_a_window_would_lose():
+    gone = lambda n: ["█████"] * n
+    item = [f"{w}{k}x" for k, w in enumerate(WORDS)]
+    assert found_in(item[:48], " ".join([*item[:22], *gone(4), *item[26:48]])) == [(48, 4)]
+    assert found_in(item[:60], " ".join([*item[:28], *gone(4), *item[32:60]])) == [(60, 4)]
+    assert found_in(item[:49], " ".join([*item[:24], "y" * 45, *item[25:49]])) == [(49, 1)]
+    assert found_in(item[:400], " ".join("█" if k % 11 == 10 else w for k, w in enumerate(item[:400]))) == [(400, 36)]
+    assert found_in(item[:40], "".join(item[:20]) + " other " + " ".join(w[:3] + " " + w[3:] for w in item[21:40])) == [(40, 1)]
+
+
+def found_in(item, text):
+    items = leakage.Items(TABLES[0], [0], [" ".join(item)], leakage.Rule().least_run)
+    return [(n, a) for _, _, n, a, *_ in leakage.search(items, [text], leakage.Rule())]
+
+
+def test_leaks_in_other_scripts_and_where_they_stand():
+    draw = random.Random(4)
+    word = lambda first, many: "".join(chr(first + draw.randrange(many)) for _ in range(draw.randint(2, 5)))
+    for first, many in ((0x4E00, 6000), (0xAC00, 11000), (0x0431, 30), (0x0905, 50), (0x05D0, 27)):
+        item = [word(first, many) for _ in range(60)]
+        other = [word(first, many) for _ in range(60)]
+        assert found_in(item, " ".join(other)) == [] and found_in(item, " ".join(other + item[5:45] + other)) == [(40, 0)]
+    # Equal in the last places of the numbers of their letters only.
+    item = [chr(0x4E00 + 3 * k) * 2 for k in range(60)]
+    assert found_in(item, " ".join(chr(0x4E00 + 3 * k + 300) * 2 for k in range(60))) == []
+    text = " ".join(other) + "\nGericht — LO/2011/0001 — Seite 7\n" + " ".join(ITEM[:20]) + "\nGericht — LO/2011/0001 — Seite 8\n" + " ".join(ITEM[20:41]) + " end"
+    items = leakage.Items(TABLES[0], [0], [" ".join(ITEM)], leakage.Rule().least_run)
+    ((_, _, words, altered, first, verbatim, begins_at, ends_at),) = leakage.search(items, [text], leakage.Rule())
+    assert (words, altered, first, verbatim) == (41, 0, 0, 41) and text[begins_at:ends_at].startswith(ITEM[0] + " " + ITEM[1]) and text[begins_at:ends_at].endswith(ITEM[40])
+
+
 def test_leaks_of_very_short_words():
     item = [chr(97 + k) for k in range(25)] + [f"z{chr(97 + k)}" for k in range(15)]
-    items = leakage.Items([0], [" ".join(item)], leakage.Rule().least_run)
+    items = leakage.Items(TABLES[0], [0], [" ".join(item)], leakage.Rule().least_run)
     text = " ".join("█" if k in (8, 17) else w for k, w in enumerate(item[:25]))
-    assert [(n, a) for _, _, n, a, _ in leakage.search(items, [text], leakage.Rule())] == [(25, 2)]
+    assert [(n, a) for _, _, n, a, *_ in leakage.search(items, [text], leakage.Rule())] == [(25, 2)]
