@@ -36,6 +36,8 @@ _BASE, _WIDTH, _PAD = 72, 10, 64
 _FAR, _FARS = 37, 35
 MEASURES = ("words", "altered", "first_word", "verbatim", "begins_at", "ends_at")
 _HARD, _SOFT = 0, 255
+#: Bits of a place among the letters of a shard.
+_PLACE = 44
 _DASH, _BLANK, _OPEN, _CLOSE, _HYPHEN = 1, 2, 4, 8, 16
 
 
@@ -335,6 +337,8 @@ class Alignment:
     def __init__(self, doc: Stream, rule: Rule) -> None:
         self.letters, self.begins, self.rule = doc.letters.tobytes(), doc.begins.tolist(), rule
         self.owner = doc.text_of[doc.begins]
+        # The letters of each word of a text, and no less.
+        self.widths = np.diff(np.append(doc.begins, len(doc.letters) - _PAD))
 
     def onward(self, words: list[bytes], row: int, y: int, most: int, end: int) -> Iterator[tuple[int, int, int]]:
         """(row, place, altered words before it) of each word that can follow, the text's words ending before number `end`."""
@@ -435,8 +439,7 @@ class Alignment:
         for a, b, y, z in runs:
             if b - a == n and self.is_begin(y, end) and (not self.letters[z] or self.is_begin(z, end)):
                 return n, 0, 0, y, z, n
-        marks = [*self.begins[first:end], self.letters.index(0, self.begins[end - 1])]
-        widest = max(y - x for x, y in zip(marks, marks[1:], strict=False))
+        widest = int(self.widths[first:end].max())
         runs = [r for r in runs if self.promising(words, r, widest)]
         if not runs:
             return None
@@ -450,30 +453,28 @@ class Alignment:
             mine, at = {(r[0], r[2]) for r in runs[at:upto]}, upto
             most = n // rule.altered_in
             points = self.reached(self.onward, words, mine, most, end, range(n)) | self.reached(self.back, words, mine, most, first, range(n - 1, -1, -1))
-            # The least altered words of a chain from each first word to each point, and where it begins.
-            none = np.full(n, n + 1, np.int32), np.zeros(n, np.int64)
+            # The least altered words of a chain from each first word to each point and, in the lower bits, where it begins.
+            none = np.full(n, n + 1 << _PLACE, np.int64)
             least = dict.fromkeys(points, none)
             rows = np.arange(n)
             for row, y in sorted(points):
-                here, place = least[row, y]
+                here = least[row, y]
                 if self.is_begin(y, end):
-                    here, place = here.copy(), place.copy()
-                    here[row], place[row] = 0, y
-                if here.min() > most:
+                    here = here.copy()
+                    here[row] = y
+                if here.min() >> _PLACE > most:
                     continue
                 for to, z, altered in self.onward(words, row, y, most, end):
                     if (to, z) in least:
-                        there, begun = least[to, z]
-                        better = here + altered < there
-                        least[to, z] = np.where(better, here + altered, there), np.where(better, place, begun)
+                        least[to, z] = np.minimum(least[to, z], here + (altered << _PLACE))
                 y += len(words[row])
                 if self.letters[y] and not self.is_begin(y, end):
                     continue
-                size = row + 1 - rows
-                good = np.flatnonzero((size >= rule.words) & (here * rule.altered_in <= size))
+                size, gone = row + 1 - rows, here >> _PLACE
+                good = np.flatnonzero((size >= rule.words) & (gone * rule.altered_in <= size))
                 if len(good):
-                    a = int(good[np.argmax((size - here)[good])])
-                    found = (int(size[a]), int(here[a]), a, int(place[a]), y)
+                    a = int(good[np.argmax((size - gone)[good])])
+                    found = (int(size[a]), int(gone[a]), a, int(here[a]) & (1 << _PLACE) - 1, y)
                     if best is None or (found[0] - found[1], found[0]) > (best[0] - best[1], best[0]):
                         best = found
         return best and (*best, max(b - a for a, b, *_ in runs))
