@@ -6,6 +6,7 @@ truth value. Missing fields are null and never fail.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.plans.filters import java_regex
 
-MODIFIERS = ("lowercase", "join", "date")
+MODIFIERS = ["lowercase", "join", "date"]
+#: Modifiers that a program has added, each from a value and its attributes to a value.
+_ADDED: dict[str, Callable] = {}
 FUNCTIONS = ("conditional", "replace", "arithmetic")
 COMPARISONS = (">", "<", ">=", "<=", "==", "!=", "contains", "not contains", "~=", "!~")
 ARITHMETIC = ("+", "-", "*", "/", "%")
@@ -77,6 +80,14 @@ def date(value: Value) -> Value:
     return Value(F.when(value.text().isNotNull(), F.coalesce(F.try_to_timestamp(value.text()), epoch)), "date")
 
 
+def register_modifier(name: str, function: Callable) -> None:
+    """Adds a modifier: function(Value, attributes) -> Value, of columns only."""
+    if name in MODIFIERS:
+        raise SpecError(f"there is a modifier {name} already")
+    MODIFIERS.append(name)
+    _ADDED[name] = function
+
+
 def modify(name: str, value: Value, attributes: dict) -> Value:
     """One modifier by name."""
     if name == "lowercase":
@@ -85,7 +96,9 @@ def modify(name: str, value: Value, attributes: dict) -> Value:
         return join(value, attributes.get("glue", ""))
     if name == "date":
         return date(value)
-    raise SpecError(f"Invalid modifier: '{name}'")
+    if name in _ADDED:
+        return _ADDED[name](value, attributes)
+    raise SpecError(f"{name} is no modifier; there are {', '.join(MODIFIERS)}")
 
 
 def literal(value: object) -> Value:
@@ -149,7 +162,7 @@ def compare(left: Value, operator: str, right: Value, pattern: str | None = None
     """Numbers compare as numbers where both sides are numbers, else as texts; a comparison with null is false, but != and the
     negations are true. pattern: the constant of a regular expression, with or without delimiters."""
     if operator not in COMPARISONS:
-        raise SpecError(f"Invalid conditional operator: '{operator}'")
+        raise SpecError(f"{operator} compares nothing; use one of {' '.join(COMPARISONS)}")
     if operator in ("contains", "not contains"):
         if left.kind == "texts":
             found = F.array_contains(left.column, right.text()) | ((F.size(left.column) == 1) & F.get(left.column, F.lit(0)).contains(right.text()))
@@ -201,7 +214,7 @@ def replace(spec: dict, fields: dict[str, Value]) -> Value:
 def arithmetic(spec: list, fields: dict[str, Value]) -> Value:
     """[left, operator, right], either side nested; % is of whole numbers, a division by zero or of what is no number is null."""
     if len(spec) != 3 or spec[1] not in ARITHMETIC:
-        raise SpecError("Invalid arithmetic")
+        raise SpecError(f"arithmetic takes left, one of {' '.join(ARITHMETIC)}, and right")
     side = lambda x: arithmetic(x, fields) if isinstance(x, list) else operand(x, fields)
     a, b = side(spec[0]).number(), side(spec[2]).number()
     if spec[1] == "%":

@@ -31,7 +31,7 @@ def check_cardinality(triples: DataFrame, single: list[str]) -> None:
     """Raises CardinalityError for the first violation."""
     found = cardinality_violations(triples, single).orderBy("c", "s", "p").first()
     if found:
-        raise CardinalityError(f"Cardinality failed on {found['s']} for '{found['p']}' - should only have 1 value and has: {found['values']}")
+        raise CardinalityError(f"{found['s']} would have {found['values']} different values of {found['p']}, which may have one")
 
 
 def group_changes(change: DataFrame) -> DataFrame:
@@ -80,13 +80,18 @@ def save(before: DataFrame, after: DataFrame, store: DataFrame, context: str, si
 
 
 def completed(log: DataFrame, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-    """The completed transactions of a period (both ends included), in the order of their end."""
+    """The completed transactions of a period (both ends included); in_order() sorts them by their end."""
     tests = [F.col("status") == "completed"]
     tests += [F.col("end_time") >= F.lit(since)] if since else []
     tests += [F.col("end_time") <= F.lit(until)] if until else []
     return log.where(reduce(lambda a, b: a & b, tests))
 
 
+def in_order(log: DataFrame) -> DataFrame:
+    """Transactions by their end, those that ended together by their id."""
+    return log.orderBy("end_time", "id")
+
+
 def replay(log: DataFrame, since: datetime | None = None, until: datetime | None = None, into: DataFrame | None = None) -> DataFrame:
     """r, c, document: the last written description of each subject of the completed transactions (id, end_time, status, r, c,
     document), put over those of `into`. Of transactions that ended together the greatest id counts. A null document is a

@@ -8,49 +8,52 @@ from collections.abc import Iterator
 from tessera.functions.scalars import ARITHMETIC, COMPARISONS, FUNCTIONS, MODIFIERS, SpecError
 
 
-def validate(spec: dict, kind: str, pods: set[str] | None = None) -> None:
-    """Raises SpecError where spec (kind: view, table or search) can't be used."""
+def validate(spec: dict, kind: str, pods: set[str] | None = None, whole: bool = True) -> None:
+    """Raises SpecError where spec (kind: view, table or search) can't be used. Not `whole`: the insides of a table's fields and
+    functions aren't looked at."""
     for needed in ("_id", "from", "type"):
         if not spec.get(needed):
-            raise SpecError(f"'{needed}' missing from {kind} spec")
+            raise SpecError(f"a {kind} has no {needed}: {spec.get('_id', spec)}")
     if pods is not None and spec["from"] not in pods:
-        raise SpecError(f"'from' property '{spec['from']}' in {spec['_id']} doesn't exist in pods")
+        raise SpecError(f"{spec['_id']} reads the pod {spec['from']}, which isn't declared")
     if kind == "view":
         if "joins" not in spec:
-            raise SpecError(f"Could not find any joins in view specification {spec['_id']}")
+            raise SpecError(f"the view {spec['_id']} has no joins; an empty member is allowed")
         for part in parts(spec):
             if "counts" in part and "ttl" not in spec:
-                raise SpecError("Aggregate function counts exists in spec, but no TTL defined")
+                raise SpecError(f"the view {spec['_id']} counts, so it needs a ttl")
     elif kind == "search":
         if "filter" not in spec:
-            raise SpecError("Search Document Filter not provided")
+            raise SpecError(f"{spec['_id']} doesn't say by a filter which descriptions are searched")
         if not spec.get("fields") and not spec.get("joins"):
-            raise SpecError("Search Document Fields not provided")
+            raise SpecError(f"{spec['_id']} has neither fields nor joins, so nothing would be found")
     else:
         if not any(spec.get(k) for k in ("fields", "counts", "joins", "computed_fields")):
-            raise SpecError("Table spec does not contain fields, joins, counts or computed_fields")
+            raise SpecError(f"the table {spec['_id']} has no column of any kind")
+        if not whole:
+            return
         for part in parts(spec):
             for field in part.get("fields", []):
                 _validate_field(field)
             for count in part.get("counts", []):
                 if "fieldName" not in count or "property" not in count:
-                    raise SpecError("Count spec needs 'fieldName' and 'property'")
+                    raise SpecError(f"a count of {spec['_id']} lacks its fieldName or property")
             if part is not spec and "computed_fields" in part:
-                raise SpecError("Table spec can only contain 'computed_fields' at top level")
+                raise SpecError(f"computed fields of {spec['_id']} stand below a join; only the root can have them")
         known = set(field_names(spec))
         for field in spec.get("computed_fields", []):
             if "fieldName" not in field or len(field.get("value", {})) != 1:
-                raise SpecError("Computed field needs 'fieldName' and one function")
+                raise SpecError(f"a computed field of {spec['_id']} needs a fieldName and exactly one function")
             _validate_function(field["value"], known)
 
 
 def _validate_field(field: dict) -> None:
     if "fieldName" not in field:
-        raise SpecError("Mandatory attribute 'fieldName' missing")
+        raise SpecError(f"a field has no fieldName: {field}")
     if "predicates" not in field and "value" not in field:
-        raise SpecError(f"Field {field['fieldName']} needs 'predicates' or 'value'")
+        raise SpecError(f"nothing says what the field {field['fieldName']} holds: predicates or a value")
     if field.get("value") not in (None, "link", "_link_"):
-        raise SpecError(f"Field {field['fieldName']} has an unknown value function")
+        raise SpecError(f"the field {field['fieldName']} has the value {field['value']}; only link is known")
     for predicate in field.get("predicates", []):
         _validate_predicate(predicate)
 
@@ -59,7 +62,7 @@ def _validate_predicate(predicate: object) -> None:
     if isinstance(predicate, dict):
         for name, inner in predicate.items():
             if name not in MODIFIERS:
-                raise SpecError(f"Invalid modifier: '{name}'")
+                raise SpecError(f"{name} is no modifier; there are {', '.join(MODIFIERS)}")
             for one in inner.get("predicates", []):
                 _validate_predicate(one)
             nested = {k: v for k, v in inner.items() if k in MODIFIERS}
@@ -70,21 +73,21 @@ def _validate_predicate(predicate: object) -> None:
 def _validate_function(function: dict, known: set[str]) -> None:
     name, body = next(iter(function.items()))
     if name not in FUNCTIONS:
-        raise SpecError(f"Computed field function '{name}' is not supported")
+        raise SpecError(f"{name} is no function of computed fields; there are {', '.join(FUNCTIONS)}")
     if name == "conditional":
         test = body.get("if")
         if not isinstance(test, list) or len(test) not in (1, 3) or ("then" not in body and "else" not in body):
-            raise SpecError("Computed conditional field needs 'if' of one or three items, and 'then' or 'else'")
+            raise SpecError("a conditional needs one or three items in `if`, and at least one branch")
         if len(test) == 3 and test[1] not in COMPARISONS:
-            raise SpecError(f"Invalid conditional operator: '{test[1]}'")
+            raise SpecError(f"{test[1]} compares nothing; use one of {' '.join(COMPARISONS)}")
     if name == "arithmetic" and (len(body) != 3 or body[1] not in ARITHMETIC):
-        raise SpecError("Invalid arithmetic operator or number of items")
+        raise SpecError(f"arithmetic takes left, one of {' '.join(ARITHMETIC)}, and right")
     if name == "replace" and not {"search", "replace", "subject"} <= set(body):
-        raise SpecError("Computed replace field needs 'search', 'replace' and 'subject'")
+        raise SpecError("a replacement needs search, replace and subject")
     for inner in body.values() if isinstance(body, dict) else body:
         for one in inner if isinstance(inner, list) else [inner]:
             if isinstance(one, str) and one.startswith("$") and one.replace("$", "") not in known:
-                raise SpecError(f"Computed spec variable, {one} is not defined in table spec")
+                raise SpecError(f"{one} is no field of this table")
             if isinstance(one, dict) and len(one) == 1 and next(iter(one)) in FUNCTIONS:
                 _validate_function(one, known)
 

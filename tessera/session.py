@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own, or one of this machine where none is named (tests only)."""
+    """The shared checkpoint folder: the session's own, or where none is named one of this machine, if the whole session is on it.
+
+    A cluster without a named folder is an error, as parts of a table on different machines would go unread.
+    """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir() if hasattr(context, "getCheckpointDir") else None
     if current:
         return current
+    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     folder = named or os.path.join(tempfile.gettempdir(), "tessera-checkpoints")
     context.setCheckpointDir(folder)
     return folder
@@ -53,7 +59,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """df written once as Parquet to the shared folder and read from there: for results that several plans read column by
-    column. The folder lives as long as the shared folder does."""
-    folder = shared_folder(df.sparkSession, purpose)
+    column. The folder is deleted when the session's JVM ends."""
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
