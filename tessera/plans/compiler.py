@@ -1,7 +1,8 @@
 """Specifications to Catalyst plans.
 
-The join tree of a spec has a fixed depth. Each of its nodes is one equi-join by subject and graph; what the nodes contribute
-to a root is united and aggregated once by the root's key, so sibling joins never multiply rows.
+The join tree of a spec has a fixed depth. Each of its nodes is one equi-join by subject and graph. Edges with one value stay on
+the row of their root (the spine), as left joins in a chain; what comes over edges with several values is united with the
+spine and aggregated once by the root's key, so sibling joins never multiply rows. Without such edges nothing is aggregated.
 """
 
 from __future__ import annotations
@@ -35,15 +36,22 @@ class Node:
     part: dict
     pod: Pod
     root: bool
+    #: The names of the key it followed.
+    to: tuple[str, str] = ("to", "to_c")
 
     def ids(self) -> Column:
-        """The subject of each row, whether it is there or not."""
-        return F.struct("r", "c").cast(ID) if self.root else F.struct(F.col("to").alias("r"), F.col("to_c").alias("c")).cast(ID)
+        """The subject of each row, whether it is there or not; on the spine null where no key was followed."""
+        if self.root:
+            return F.struct(F.col(self.pod.r).alias("r"), F.col(self.pod.c).alias("c")).cast(ID)
+        r, c = self.to
+        return F.when(F.col(r).isNotNull(), F.struct(F.col(r).alias("r"), F.col(c).alias("c")).cast(ID))
 
 
 def _at(pod: Pod, frame: DataFrame) -> Pod:
     """pod with another frame that has its columns."""
-    return WidePod(frame, pod.columns) if isinstance(pod, WidePod) else PropsPod(frame)
+    other = WidePod(frame, pod.columns) if isinstance(pod, WidePod) else PropsPod(frame)
+    other.r, other.c = pod.r, pod.c
+    return other
 
 
 def of_type(pod: Pod, types: list[str], ns: Namespaces | None) -> Column:
@@ -62,22 +70,78 @@ def walk(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None, only: D
     on) to the description of that subject in the graph of the source, or in `context`. Repeated values are followed once,
     missing targets give rows without values.
     """
-    pod = pods[spec["from"]]
+    root = _root(spec, pods, ns, only)
+    yield root
+    yield from _children(root, spec, pods, spec["from"], context, prefix=None)
+
+
+def _root(spec: dict, pods: dict[str, Pod], ns: Namespaces | None, only: DataFrame | None, pod: Pod | None = None) -> Node:
+    pod = pod or pods[spec["from"]]
     frame = pod.frame.where(of_type(pod, specs.types(spec), ns))
     if only is not None:
         frame = frame.join(only, (F.col("r") == F.col("root_r")) & (F.col("c") == F.col("root_c")), "left_semi")
     frame = frame.withColumn("root_r", F.col("r")).withColumn("root_c", F.col("c")).withColumn("ord", F.array(F.lit(0)))
-    root = Node(spec, _at(pod, frame), True)
-    yield root
-    yield from _children(root, spec, pods, spec["from"], context, prefix=None)
+    return Node(spec, _at(pod, frame), True)
 
 
-def _children(parent: Node, part: dict, pods: dict[str, Pod], default_from: str, context: str | None, prefix: Column | None) -> Iterator[Node]:
+@dataclass
+class Tree:
+    """A join tree: the nodes on the spine, all in one frame with a row per root and each with its place in the order, and the
+    others, each in a frame of its own."""
+
+    frame: DataFrame
+    spine: list[tuple[list[int], Node]]
+    others: list[Node]
+
+
+def tree(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None, only: DataFrame | None = None, context: str | None = None, pod: Pod | None = None) -> Tree:
+    """The nodes of walk(), those reached over single values from root to node in one frame. pod: in place of the spec's own."""
+    root = _root(spec, pods, ns, only, pod)
+    found = Tree(root.pod.frame, [([0], root)], [])
+    _grow(found, root, spec, pods, spec["from"], context, [])
+    # Every node of the spine sees the whole frame.
+    for _, node in found.spine:
+        node.pod = _at(node.pod, found.frame)
+    return found
+
+
+def _grow(found: Tree, parent: Node, part: dict, pods: dict[str, Pod], default_from: str, context: str | None, below: list[int]) -> None:
     for n, (predicate, joined) in enumerate(part.get("joins", {}).items()):
+        base = [*below, 1 + n]
+        target = pods[joined.get("from", default_from)]
+        key = F.col(parent.pod.r) if predicate == "_id" else _single(parent.pod, predicate)
+        if key is None or not isinstance(target, WidePod):
+            single = {**part, "joins": {predicate: joined}}
+            found.others += _children(parent, single, pods, default_from, context, prefix=F.array(*[F.lit(x) for x in below]) if below else None, first=n)
+            continue
+        prefix = f"n{len(found.spine)}_"
+        frame, columns = target.renamed(prefix)
+        to = (prefix + "to", prefix + "to_c")
+
+        def joined_to(left: DataFrame, parent: Node = parent, frame: DataFrame = frame, key: Column = key, to: tuple[str, str] = to, prefix: str = prefix) -> DataFrame:
+            keyed = left.withColumn(to[0], key).withColumn(to[1], F.lit(context) if context else F.col(parent.pod.c if parent.root else parent.to[1]))
+            return keyed.join(frame, (F.col(to[0]) == F.col(prefix + "r")) & (F.col(to[1]) == F.col(prefix + "c")), "left")
+
+        found.frame = joined_to(found.frame)
+        node = Node(joined, target.within(joined_to(parent.pod.frame), columns, prefix), False, to)
+        found.spine.append(([*base, 0, 0], node))
+        _grow(found, node, joined, pods, default_from, context, [*base, 1, 0])
+
+
+def _single(pod: Pod, predicate: str) -> Column | None:
+    """The column of a predicate that has one URI at most."""
+    if isinstance(pod, WidePod) and predicate in pod.columns and pod.columns[predicate][0] == "u":
+        return pod.scalar(predicate)
+    return None
+
+
+def _children(parent: Node, part: dict, pods: dict[str, Pod], default_from: str, context: str | None, prefix: Column | None, first: int = 0) -> Iterator[Node]:
+    for n, (predicate, joined) in enumerate(part.get("joins", {}).items(), first):
         keys = _keys(parent.pod, predicate, joined)
         # Matches come in the order of their keys, all before what is joined to any of them.
         base = F.array(F.lit(1 + n)) if prefix is None else F.concat(prefix, F.array(F.lit(1 + n)))
-        links = parent.pod.frame.select(*KEY, base.alias("base"), "c", F.posexplode(keys).alias("at", "to"))
+        graph = F.col(parent.pod.c if parent.root else parent.to[1])
+        links = parent.pod.frame.select(*KEY, base.alias("base"), graph.alias("c"), F.posexplode(keys).alias("at", "to"))
         links = links.withColumn("to_c", F.lit(context) if context else F.col("c")).drop("c")
         target = pods[joined.get("from", default_from)]
         here = links.select(*KEY, F.concat("base", F.array(F.lit(0), F.col("at"))).alias("ord"), F.concat("base", F.array(F.lit(1), F.col("at"))).alias("below"), "to", "to_c")
@@ -89,7 +153,7 @@ def _children(parent: Node, part: dict, pods: dict[str, Pod], default_from: str,
 
 def _keys(pod: Pod, predicate: str, joined: dict) -> Column:
     if predicate == "_id":
-        return F.array("r")
+        return F.array_compact(F.array(pod.r))
     if predicate == "followSequence":
         return sequence(pod, joined.get("maxJoins", 1000))
     keys = F.array_distinct(pod.texts(predicate, "u"))
@@ -114,9 +178,9 @@ def field_value(pod: Pod, predicate: object) -> Value:
     return scalars.modify(name, value, body)
 
 
-def _link(ns: Namespaces | None) -> Column:
+def _link(ns: Namespaces | None, pod: Pod) -> Column:
     """The full URI of the subject at hand."""
-    return F.array_compact(F.array(ns.expand(F.col("r")) if ns else F.col("r")))
+    return F.array_compact(F.array(ns.expand(F.col(pod.r)) if ns else F.col(pod.r)))
 
 
 def _as_texts(value: Value) -> Column:
@@ -127,23 +191,39 @@ def _as_texts(value: Value) -> Column:
     return F.array_compact(F.array(value.text()))
 
 
-def contributions(nodes: list[Node], fields_of: Callable[[Node], dict[str, Column]], counts_of: Callable[[Node], dict[str, Column]], names: list[str], counts: list[str]) -> DataFrame:
+def contributions(found: Tree, fields_of: Callable[[Node], dict[str, Column]], counts_of: Callable[[Node], dict[str, Column]], names: list[str], counts: list[str]) -> DataFrame:
     """root_r, root_c and each field as the values of all nodes in their order, each count as the sum over all nodes,
     and `impact`, every subject that has a part in the row, missing targets included."""
-    frames = []
-    for node in nodes:
-        fields, number = fields_of(node), counts_of(node)
+    spine = sorted(found.spine, key=lambda x: x[0])
+    fields, numbers = [fields_of(node) for _, node in spine], [counts_of(node) for _, node in spine]
+    ids = F.array_compact(F.array(*[node.ids() for _, node in spine]))
+    none = F.array().cast(TEXTS)
+    plain = lambda f: F.concat(none, *[x[f] for x in fields if f in x])
+    total = lambda c: reduce(lambda a, b: a + b, [F.coalesce(x[c], F.lit(0)) for x in numbers if c in x], F.lit(0).cast("bigint"))
+    if not found.others:
+        return found.frame.select(
+            *KEY, F.array_sort(F.array_distinct(ids)).alias("impact"),
+            *[plain(f).alias(f"f_{k}") for k, f in enumerate(names)],
+            *[total(c).alias(f"n_{k}") for k, c in enumerate(counts)],
+        )
+    # A field of the spine is a list of the values of each of its nodes, with their places; one of another node is one such value.
+    kind = "array<struct<ord:array<int>,v:array<string>>>"
+    placed = lambda f: F.array(*[F.struct(F.array(*[F.lit(x) for x in place]).alias("ord"), x[f].alias("v")) for (place, _), x in zip(spine, fields, strict=True) if f in x]).cast(kind)
+    frames = [found.frame.select(*KEY, ids.alias("ids"), *[placed(f).alias(f"f_{k}") for k, f in enumerate(names)], *[total(c).alias(f"n_{k}") for k, c in enumerate(counts)])]
+    for node in found.others:
+        mine, number = fields_of(node), counts_of(node)
+        one = lambda f: F.array(F.struct(F.col("ord"), mine[f].alias("v"))).cast(kind) if f in mine else F.array().cast(kind)  # noqa: B023, E731
         frames.append(
             node.pod.frame.select(
-                *KEY, "ord", node.ids().alias("id"),
-                *[(fields[f] if f in fields else F.lit(None).cast(TEXTS)).alias(f"f_{k}") for k, f in enumerate(names)],
+                *KEY, F.array(node.ids()).alias("ids"), *[one(f).alias(f"f_{k}") for k, f in enumerate(names)],
                 *[(number[c] if c in number else F.lit(None).cast("bigint")).alias(f"n_{k}") for k, c in enumerate(counts)],
             )
         )
     every = reduce(DataFrame.unionByName, frames)
-    gathered = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size(c) > 0, F.struct("ord", c)))), lambda x: x[c]))
+    listed = lambda c: F.filter(F.flatten(F.collect_list(F.when(F.size(c) > 0, F.col(c)))), lambda x: F.size(x["v"]) > 0)
+    gathered = lambda c: F.flatten(F.transform(F.array_sort(listed(c)), lambda x: x["v"]))
     return every.groupBy(*KEY).agg(
-        F.array_sort(F.collect_set("id")).alias("impact"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("impact"),
         *[gathered(f"f_{k}").alias(f"f_{k}") for k in range(len(names))],
         *[F.coalesce(F.sum(f"n_{k}"), F.lit(0)).alias(f"n_{k}") for k in range(len(counts))],
     )
@@ -156,16 +236,16 @@ def table(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None, only:
     Counts are sums, 0 where nothing is counted. Temporary fields are dropped at the end.
     """
     specs.validate(spec, "table", set(pods))
-    nodes = list(walk(spec, pods, ns, only, context))
-    names = list(dict.fromkeys(f["fieldName"] for n in nodes for f in n.part.get("fields", [])))
-    counts = list(dict.fromkeys(c["fieldName"] for n in nodes for c in n.part.get("counts", [])))
+    found = tree(spec, pods, ns, only, context)
+    names = list(dict.fromkeys(f["fieldName"] for p in specs.parts(spec) for f in p.get("fields", [])))
+    counts = list(dict.fromkeys(c["fieldName"] for p in specs.parts(spec) for c in p.get("counts", [])))
 
     def fields_of(node: Node) -> dict[str, Column]:
         out: dict[str, list[Column]] = {}
         for f in node.part.get("fields", []):
             out.setdefault(f["fieldName"], []).extend(_as_texts(field_value(node.pod, p)) for p in f.get("predicates", []))
             if f.get("value") in ("link", "_link_"):
-                out[f["fieldName"]].append(_link(ns))
+                out[f["fieldName"]].append(_link(ns, node.pod))
         return {k: F.concat(*v) for k, v in out.items()}
 
     def counts_of(node: Node) -> dict[str, Column]:
@@ -178,7 +258,7 @@ def table(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = None, only:
             out[c["fieldName"]] = out[c["fieldName"]] + number if c["fieldName"] in out else number
         return out
 
-    rows = contributions(nodes, fields_of, counts_of, names, counts)
+    rows = contributions(found, fields_of, counts_of, names, counts)
     values = {f: Value(F.col(f"f_{k}"), "texts") for k, f in enumerate(names)}
     values |= {c: Value(F.col(f"n_{k}"), "whole") for k, c in enumerate(counts)}
     for number, computed in enumerate(spec.get("computed_fields", [])):
@@ -302,10 +382,10 @@ def search_documents(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = N
             frame = frame.join(keys, (F.col("r") == F.col(f"rule{n}_r")) & (F.col("c") == F.col(f"rule{n}_c")), "left").drop(f"rule{n}_c")
             rules.append(F.col(f"rule{n}_r").isNotNull())
     matching = frame.where(reduce(lambda a, b: a | b, rules)).drop(*[f"rule{n}_r" for n in range(len(rules))])
-    nodes = list(walk(spec, pods, ns, only, context))
-    roots = matching.select(F.col("r").alias("root_r"), F.col("c").alias("root_c")).distinct()
+    # What doesn't match is gone before anything is joined.
+    found = tree(spec, pods, ns, only, context, _at(pod, matching))
     entries = lambda part: [(f, False) for f in part.get("fields", [])] + [(f, True) for f in part.get("indices", [])]
-    names = list(dict.fromkeys(f["fieldName"] for n in nodes for f, _ in entries(n.part)))
+    names = list(dict.fromkeys(f["fieldName"] for p in specs.parts(spec) for f, _ in entries(p)))
 
     def fields_of(node: Node) -> dict[str, Column]:
         out: dict[str, list[Column]] = {}
@@ -314,11 +394,10 @@ def search_documents(spec: dict, pods: dict[str, Pod], ns: Namespaces | None = N
                 values = _trimmed(field_value(node.pod, p).column, index)
                 out.setdefault(f["fieldName"], []).append(F.slice(values, 1, f["limit"]) if f.get("limit") else values)
             if f.get("value") in ("link", "_link_"):
-                out.setdefault(f["fieldName"], []).append(_link(ns))
+                out.setdefault(f["fieldName"], []).append(_link(ns, node.pod))
         return {k: F.concat(*v) for k, v in out.items()}
 
-    rows = contributions(nodes, fields_of, lambda _: {}, names, [])
-    rows = rows.join(roots, KEY, "left_semi")
+    rows = contributions(found, fields_of, lambda _: {}, names, [])
     return rows.select(F.col("root_r").alias("r"), F.col("root_c").alias("c"), F.lit(spec["_id"]).alias("type"), *[F.col(f"f_{k}").alias(n.replace(".", "_")) for k, n in enumerate(names)], F.col("impact").alias("impact_index"))
 
 

@@ -22,7 +22,9 @@ def empty(kind: str) -> Column:
 
 
 class Pod:
-    """A frame with r and c, and the values of its predicates."""
+    """A frame with r and c, and the values of its predicates. Beside others in one frame, r and c may have other names."""
+
+    r, c = "r", "c"
 
     def __init__(self, frame: DataFrame) -> None:
         self.frame = frame
@@ -42,7 +44,7 @@ class Pod:
     def texts(self, predicate: str, kind: str | None = None) -> Column:
         """The values of one kind, or of both, as array<string>. `_id` is the subject."""
         if predicate == "_id":
-            return F.array(F.col("r"))
+            return F.array(F.col(self.r))
         found = self.values(predicate)
         if kind:
             found = F.filter(found, lambda x: x["k"] == kind)
@@ -82,6 +84,16 @@ class WidePod(Pod):
         columns = [c.alias(named[p][1]) for p, (_, c) in predicates.items()]
         return WidePod(df.select(subject.alias("r"), graph.alias("c"), *columns, *(keep or [])), named)
 
+    def renamed(self, prefix: str) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+        """The frame and the columns with a prefix before every name."""
+        return self.frame.select(*[F.col(n).alias(prefix + n) for n in self.frame.columns]), {p: (k, prefix + n) for p, (k, n) in self.columns.items()}
+
+    def within(self, frame: DataFrame, columns: dict[str, tuple[str, str]], prefix: str = "") -> WidePod:
+        """The pod in a frame that has its columns with a prefix before every name."""
+        pod = WidePod(frame, columns)
+        pod.r, pod.c = prefix + "r", prefix + "c"
+        return pod
+
     def scalar(self, predicate: str) -> Column | None:
         """The plain column of a single-valued predicate, for comparisons without arrays."""
         if predicate in self.columns and dict(self.frame.dtypes)[self.columns[predicate][1]] == "string":
