@@ -1,7 +1,7 @@
 """Entity, attribute and value rows into one wide typed row per entity.
 
-The entity-by-attribute grid is completed, the values are left-joined to it, the cells of an entity are collected as an
-array sorted by attribute position, and fixed places of that array are projected through try casts of each type.
+The entity-by-attribute grid is completed (per entity an array of all places), the values are left-joined to it, the cells of an
+entity are an array sorted by attribute position, and fixed places of that array are projected through try casts of each type.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def typed_text(value: Column, data_type: Column) -> Column:
 
 
 def cells(triples: DataFrame, attributes: list[Attribute], ns: Namespaces) -> DataFrame:
-    """The completed grid: s, c, place and the summary of the values of that cell (n, bad, low, high, values).
+    """The completed grid: s, c and `cells`, for each declared attribute in its place the summary of the values of that cell
+    (place, n, bad, low, high, values).
 
     Entities are all (canonical s, c); rows with a null s or c belong to none and are left out. Attributes that aren't
     declared have no cell, their entities stay. Null and blank values count as none. `values` holds the distinct typed
@@ -93,11 +94,19 @@ def cells(triples: DataFrame, attributes: list[Attribute], ns: Namespaces) -> Da
         F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("t").alias("low"), F.max("t").alias("high"),
         F.collect_list(F.when(F.col("many") & F.col("t").isNotNull(), F.struct("at", "t"))).alias("listed"),
     )
-    grid = summary.select("s", "c").distinct().select("s", "c", F.explode(F.array(*[F.lit(a.place) for a in attributes]).cast("array<int>")).alias("place"))
-    return grid.join(summary.where(F.col("place").isNotNull()), ["s", "c", "place"], "left").select(
-        "s", "c", "place", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("bad", F.lit(0)).alias("bad"), "low", "high",
-        F.transform(F.array_sort("listed"), lambda x: x["t"]).alias("values"),
-    )
+    # By now a row per cell at most: from here on everything of an entity is in one place, so nothing moves again.
+    placed = summary.select("s", "c", F.struct("place", "n", "bad", "low", "high", F.transform(F.array_sort("listed"), lambda x: x["t"]).alias("values")).alias("cell")).repartition("s", "c")
+    grid = placed.select("s", "c").distinct().withColumn("places", F.array(*[F.lit(a.place) for a in attributes]).cast("array<int>"))
+    found = placed.where("cell.place IS NOT NULL").groupBy("s", "c").agg(F.array_sort(F.collect_list("cell")).alias("found"))
+    joined = grid.join(found, ["s", "c"], "left").withColumn("at", F.transform("found", lambda x: x["place"]))
+    empty = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("bad"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), F.array().cast("array<string>").alias("values"))
+
+    def cell(place: Column) -> Column:
+        held = F.try_element_at("found", F.array_position("at", place).cast("int"))
+        filled = [F.coalesce(held[m], empty[m]).alias(m) if m in ("n", "bad", "values") else held[m].alias(m) for m in ("n", "bad", "low", "high", "values")]
+        return F.when(F.coalesce(F.array_position("at", place), F.lit(0)) > 0, F.struct(place.alias("place"), *filled)).otherwise(F.struct(place.alias("place"), *[empty[m].alias(m) for m in ("n", "bad", "low", "high", "values")]))
+
+    return joined.select("s", "c", F.transform("places", cell).alias("cells"))
 
 
 def wide(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
@@ -109,8 +118,7 @@ def wide(grid: DataFrame, attributes: list[Attribute]) -> DataFrame:
     decimal(38,12) (26 digits before and 12 behind the point), null beyond that and never rounded. Attributes of multiplicity
     `many` give arrays of the values that are of the type, with null for those beyond.
     """
-    row = F.array_sort(F.collect_list(F.struct("place", "n", "bad", "low", "high", "values")))
-    rows = grid.groupBy("s", "c").agg(row.alias("cells"))
+    rows = grid
     casts = {"integer": "decimal(38,0)", "decimal": "decimal(38,12)", "date": "date", "boolean": "boolean"}
     columns, unheld, beyond = [], [], []
     for a in attributes:

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import not_blank_sql
-from tessera.functions.uri import canonical_of_sql
+from tessera.functions.uri import Namespaces, canonical_of_sql
 from tessera.operators import adhoc, changes, composites, graphs, impact
 from tessera.operators.records import current_rows_sql
 from tessera.plans import compiler
 from tessera.plans.sample_pods import GRAPH, NS, Pods
+from tessera.session import written
 from tessera.sources import rdf
 from tessera.sources.pods import from_json, from_triples, to_json
 from tessera.sources.tables import read
@@ -519,9 +520,39 @@ def impacted_tables(pods):
     return impact.impacted(t_orders(pods), _change_of(pods, "foaf:name"), T_ORDERS).select(F.col("root_r").alias("r"))
 
 
-@query(f"SELECT r FROM ({_ORDERS}) WHERE false")
+@query(f"SELECT o.r AS r FROM ({_ORDERS}) o JOIN ({_CUSTOMERS}) k ON o.customer = k.r WHERE k.segment = 'BUILDING'")
 def impacted_tables_other_predicate(pods):
-    return impact.impacted(t_orders(pods), _change_of(pods, "ex:balance"), T_ORDERS).select(F.col("root_r").alias("r"))
+    """New balances of one segment touch nothing, new names of another do."""
+    named = pods["customers"].only(pods["customers"].scalar("ex:segment") == "BUILDING").frame.select("c", F.col("r").alias("s"), F.lit("foaf:name").alias("p"))
+    return impact.impacted(t_orders(pods), _change_of(pods, "ex:balance").unionByName(named), T_ORDERS).select(F.col("root_r").alias("r"))
+
+
+@query(f"SELECT r, CAST(total AS DOUBLE) * 2 AS doubled, CASE WHEN CAST(total AS DOUBLE) * 2 > 300000 THEN 'big' ELSE 'small' END AS size, true AS open_or_done FROM ({_ORDERS})")
+def table_chained(pods):
+    """A computed field in another, and a condition of one item."""
+    computed = {"doubled": {"arithmetic": ["$total", "*", 2]}, "size": {"conditional": {"if": ["$doubled", ">", 300000], "then": "big", "else": "small"}}, "open_or_done": {"conditional": {"if": ["$status"], "then": True, "else": False}}}
+    fields = [_field("total", "ex:total", temporary=True), _field("status", "ex:status", temporary=True)]
+    return compiler.table(_spec("orders", "ex:Order", fields=fields, computed_fields=[{"fieldName": n, "value": v} for n, v in computed.items()]), pods, NS).drop("c", "impact_index")
+
+
+@query(f"SELECT k.r AS root_r, count(n.n_nationkey) + 1 AS graphs FROM ({_CUSTOMERS}) k LEFT JOIN nation n ON k.nation = 'ex:nation/' || n.n_nationkey AND n.n_name < 'NATION_5' GROUP BY k.r")
+def view_condition(pods):
+    spec = {**V_CUSTOMER, "joins": {"ex:nation": {"from": "nations", "condition": {"ex:name.l": {"$lt": "NATION_5"}}}}}
+    return compiler.view(spec, pods, NS).groupBy("root_r").agg(F.count(F.lit(1)).alias("graphs"))
+
+
+@query(_STORED + """, subjects AS (SELECT DISTINCT r, c FROM now WHERE deleted_at IS NULL),
+books AS (SELECT DISTINCT r, c FROM t WHERE p = 'rdf:type' AND k = 'u' AND v = 'bibo:Book'),
+links AS (SELECT DISTINCT b.r, b.c, x.v FROM books b JOIN canon x ON x.r = b.r AND x.c = b.c AND x.p = 'dct:source' AND x.k = 'u'),
+titles AS (SELECT r, c, count(*) AS n FROM canon WHERE p = 'dct:title' GROUP BY r, c)
+SELECT b.c AS c, count(DISTINCT b.r) AS books, count(l.v) AS sources, count(s.r) AS found, CAST(coalesce(sum(q.n), 0) AS BIGINT) AS titles
+FROM books b LEFT JOIN links l ON l.r = b.r AND l.c = b.c LEFT JOIN subjects s ON s.r = l.v AND s.c = l.c LEFT JOIN titles q ON q.r = s.r AND q.c = s.c GROUP BY b.c""")
+def table_graph_join(pods):
+    """A join within each of many graphs: a target of the same name in another graph is another subject."""
+    spec = _spec("resources", "bibo:Book", counts=[{"fieldName": "sources", "property": "none:none"}], joins={"dct:source": {"from": "resources", "counts": [{"fieldName": "titles", "property": "dct:title"}], "fields": [_field("there", "_id")]}})
+    rows = compiler.table(spec, pods, Namespaces.of(read(pods.spark, pods.folder, "prefixes")))
+    total = lambda c: F.sum(c).cast("bigint")
+    return rows.groupBy("c").agg(F.count("r").alias("books"), total(F.size("impact_index") - 1).alias("sources"), total(F.size("there")).alias("found"), total("titles").alias("titles"))
 
 
 @query(f"SELECT r FROM ({_CUSTOMERS}) WHERE segment = 'MACHINERY'")
@@ -532,13 +563,13 @@ def impacted_views(pods):
 @query(f"SELECT r, c, total, status, CASE WHEN segment = 'MACHINERY' THEN lower(customer) ELSE coalesce(customer, '') END AS customer, items FROM ({_T_ORDERS})")
 def refresh(pods):
     """The rows after the names of some customers changed: only what the change touches is made anew."""
-    old = t_orders(pods)
+    old = written(t_orders(pods), "t_orders")
     after = Pods(pods.spark, pods.folder)
     people = pods["customers"]
     name = people.columns["foaf:name"][1]
     hit = people.scalar("ex:segment") == "MACHINERY"
     after["customers"] = type(people)(people.frame.withColumn(name, F.when(hit, F.lower(name)).otherwise(F.col(name))), people.columns)
-    keys = impact.to_refresh(old, pods["baskets"], _change_of(pods, "foaf:name"), T_ORDERS, NS)
+    keys = written(impact.to_refresh(old, pods["baskets"], _change_of(pods, "foaf:name"), T_ORDERS, NS), "impacted")
     return flat(impact.refresh(old, keys, lambda k: t_orders(after, k))).select("r", "c", "total", "status", "customer", "items")
 
 
