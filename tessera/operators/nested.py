@@ -7,7 +7,7 @@ pivoted into one table whose rows keep the keys of their parents.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,8 @@ _TOKEN = re.compile(r'[ \t\n\r]*(?:([{}\[\],:])|"((?:[^"\\\x00-\x1f]|\\(?:["\\/b
 _ESCAPE = re.compile(r"\\(u[dD][89abAB][0-9a-fA-F]{2}\\u[dD][c-fC-F][0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|.)", re.DOTALL)
 #: The short escapes of JSON.
 _SHORT = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t"}
+#: Most different paths: they are the schema of the records.
+MAX_PATHS = 10_000
 TRIPLES = "path array<string>, ordinals array<int>, kind string, value string, seq int"
 
 
@@ -152,56 +154,128 @@ def pivot(rows: DataFrame, keys: list[str], names: dict[str, Column]) -> DataFra
     return rows.groupBy(*keys).agg(*[F.max_by(F.when(test, F.col("value")), F.when(test, F.col("seq"))).alias(n) for n, test in names.items()])
 
 
+def paths_of(flat: DataFrame) -> list[tuple[tuple[str, ...], bool]]:
+    """The distinct paths and whether an object stands there, on the driver: the schema of the records, at most MAX_PATHS."""
+    rows = flat.where("kind <> 'invalid'").select("path", (F.col("kind") == "object").alias("object")).distinct().limit(MAX_PATHS + 1).collect()
+    if len(rows) > MAX_PATHS:
+        raise ValueError(f"more than {MAX_PATHS} paths")
+    return sorted((tuple(r["path"]), r["object"]) for r in rows)
+
+
+def normal_paths(paths: list[tuple[tuple[str, ...], bool]], repeated: set[tuple[str, ...]]) -> dict[tuple[tuple[str, ...], bool], tuple[list[str], list[int]]]:
+    """For each path its form with a step [] wherever an array stands in any record (or that `repeated` names), and at which places
+    among its ordinals a 0 has to go in. So a single object in place of an array is an array of one."""
+    arrays, before = set(repeated), None
+    while arrays != before:
+        before, found = set(arrays), {}
+        for path, is_object in paths:
+            out, places = [], []
+            for k, step in enumerate(path):
+                out.append(step)
+                following = path[k + 1] if k + 1 < len(path) else None
+                if following == ITEM:
+                    arrays.add(tuple(out))
+                elif step != ITEM and tuple(out) in arrays and (following is not None or is_object):
+                    places.append(out.count(ITEM))
+                    out.append(ITEM)
+            found[path, is_object] = out, places
+    return found
+
+
+def grouped(flat: DataFrame, repeated: Callable[[list[tuple[str, ...]]], set[tuple[str, ...]]] | None = None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(the rows of flat with `ancestor`, `ordinals` of it, and `member`; the members of each ancestor).
+
+    The ancestor is a path up to its last repeated step, written with dots, the member what follows, and '' for the element itself.
+    repeated: paths, of those that occur, where arrays may stand although none does.
+    """
+    paths = paths_of(flat)
+    found = normal_paths(paths, repeated([p for p, _ in paths]) if repeated else set())
+    rows, members = [], {}
+    for (path, is_object), (out, places) in found.items():
+        last = len(out) - out[::-1].index(ITEM) if ITEM in out else 0
+        ancestor, member = ".".join(out[:last]), ".".join(out[last:])
+        rows.append((list(path), is_object, ancestor, member, places))
+        members.setdefault(ancestor, set()).add(member)
+    table = flat.sparkSession.createDataFrame(rows, "path array<string>, _object boolean, ancestor string, member string, _places array<int>")
+    # The table has MAX_PATHS rows at most.
+    joined = flat.withColumn("_object", F.col("kind") == "object").join(F.broadcast(table), ["path", "_object"])
+    put = lambda a, p: F.concat(F.slice(a, F.lit(1), p), F.array(F.lit(0)), F.slice(a, p + 1, F.greatest(F.size(a) - p, F.lit(0))))
+    ordinals = F.when(F.size("_places") == 0, F.col("ordinals")).otherwise(F.aggregate("_places", F.col("ordinals"), put))
+    return joined.withColumn("ordinals", ordinals).drop("_object", "_places", "path"), {a: sorted(m) for a, m in members.items()}
+
+
+def group_table(rows: DataFrame, key: str, ancestor: str, members: list[str]) -> DataFrame:
+    """The table of one ancestor: key, no_1, no_2 and so on (its ordinals, which are the keys of its parents too), and a column for
+    each member, its dots as written. Of members written twice the last counts."""
+    depth = ancestor.split(".").count(ITEM)
+    mine = rows.where(F.col("ancestor") == ancestor)
+    keys = [F.get("ordinals", F.lit(k)).alias(f"no_{k + 1}") for k in range(depth)]
+    names = {m: F.col("member") == m for m in members if m}
+    flat = mine.select(key, *keys, "member", "value", "seq")
+    return pivot(flat, [key, *[f"no_{k + 1}" for k in range(depth)]], names)
+
+
+def all_tables(docs: DataFrame, key: str, text: str) -> dict[str, DataFrame]:
+    """One flat table for each repeated ancestor that occurs in the records, '' for the records themselves; ordinals join a table to
+    that of any ancestor above it."""
+    rows, members = grouped(written(flatten(docs, key, text), "nested"))
+    return {a: group_table(rows, key, a, m) for a, m in members.items()}
+
+
+_GRAPHS, _INDEX = ("value", "_graphs"), ("value", "_impactIndex")
+
+
+def _repeated_in_views(paths: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Graphs, index entries and the values of each predicate of a graph, which may all be written as a single object."""
+    out = {_GRAPHS, _INDEX}
+    for path in paths:
+        if path[:2] == _GRAPHS:
+            rest = path[3:] if path[2:3] == (ITEM,) else path[2:]
+            if rest and rest[0] != "_id":
+                out.add((*_GRAPHS, ITEM, rest[0]))
+    return out
+
+
 def view_tables(docs: DataFrame, ns: Namespaces) -> dict[str, DataFrame]:
     """The flat tables of stored views, joined by keys:
 
     views: view_id, valid, r, c, type, cts, expires, graphs, index_entries (how many items each array has).
-    graphs: view_id, graph_no, r, c. values: view_id, graph_no, predicate, value_no, kind (u, l or the member's name,
-    null for a bare scalar), value. bookmarks: view_id, graph_no, value_no, target_r. impact_index: view_id, entry_no, r, c.
-    A single object where an array may stand counts as an array of one. r and target_r are canonical. Values that are
-    neither object nor array in `_graphs` or `_impactIndex` are counted in views but give no row; missing parts are null.
+    graphs: view_id, graph_no, r, c. values: view_id, graph_no, predicate, value_no, kind (u, l or the names of the members down to
+    the value, null for a bare scalar), value. bookmarks: view_id, graph_no, value_no, target_r. impact_index: view_id, entry_no,
+    r, c. A single object where an array may stand counts as an array of one. r and target_r are canonical. Values that are
+    neither object nor array in `_graphs` or `_impactIndex` are counted in views but give no row; missing parts are null, nulls give
+    no value.
 
     The records are parsed once: their paths and values are written to the shared folder, and all tables read that.
     """
     flat = written(flatten(docs, "view_id", "doc"), "nested")
-    path = F.col("path")
-    step = lambda k: F.get(path, F.lit(k))
-    place = lambda k: F.coalesce(F.get("ordinals", F.lit(k)), F.lit(0))
-    depth = F.size(path)
-    in_value = step(0) == "value"
-    graphs, index = in_value & (step(1) == "_graphs"), in_value & (step(1) == "_impactIndex")
-    # A single object in place of the array lacks the step [] : where it stands, the rest of the path begins.
-    rest = F.when(step(2) == ITEM, 3).otherwise(2)
-    part = lambda k: F.get(path, rest + k)
-    tagged = flat.withColumn("_rest", rest)
-    element = (depth == rest) & ((F.col("kind") == "object") | (rest == 3))
-
-    at_root = lambda *names: (depth == len(names)) & F.lit(True) if not names else (path == F.array(*[F.lit(n) for n in names]))
-    views = flat.groupBy("view_id").agg(
-        F.max(F.when(F.col("kind") == "invalid", False).otherwise(True)).alias("valid"),
-        *[F.max_by(F.when(at_root(*p), F.col("value")), F.when(at_root(*p), F.col("seq"))).alias(n) for n, p in {"r": ("_id", "r"), "c": ("_id", "c"), "type": ("_id", "type"), "cts": ("_cts",), "expires": ("value", "_expires")}.items()],
-        F.count_distinct(F.when(graphs & element, place(0))).alias("graphs"),
-        F.count_distinct(F.when(index & element, place(0))).alias("index_entries"),
+    rows, members = grouped(flat, _repeated_in_views)
+    graph, entry = ".".join((*_GRAPHS, ITEM)), ".".join((*_INDEX, ITEM))
+    table = lambda a, *names: group_table(rows, "view_id", a, list(names))
+
+    valid = flat.groupBy("view_id").agg(F.max(F.col("kind") != "invalid").alias("valid"))
+    root = table("", "_id.r", "_id.c", "_id.type", "_cts", "value._expires").toDF("view_id", "r", "c", "type", "cts", "expires")
+    count = lambda a: F.count_distinct(F.when((F.col("ancestor") == a) & (F.col("member") == ""), F.get("ordinals", F.lit(0))))
+    counts = rows.where((F.col("ancestor").isin(graph, entry)) & (F.col("member") == "")).groupBy("view_id").agg(count(graph).alias("graphs"), count(entry).alias("index_entries"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    views = valid.join(root, "view_id", "left").join(counts, "view_id", "left").select("view_id", "valid", ns.canonical(F.col("r")).alias("r"), "c", "type", "cts", "expires", zero("graphs"), zero("index_entries"))
+
+    named = lambda df, no: df.toDF("view_id", no, "r", "c").where("r IS NOT NULL OR c IS NOT NULL").withColumn("r", ns.canonical(F.col("r")))
+    graphs, entries = named(table(graph, "_id.r", "_id.c"), "graph_no"), named(table(entry, "r", "c"), "entry_no")
+
+    # The values of all predicates in one long table: of a predicate's own group, or bare beside the graph's _id.
+    scalar = rows.where(~F.col("kind").isin("object", "array", "null") & F.col("ancestor").startswith(graph))
+    below = F.regexp_replace(F.substring(F.col("ancestor"), len(graph) + 2, 1_000_000_000), r"\.\[\]$", "")
+    own = F.col("ancestor") != graph
+    plain = scalar.where(own | (F.regexp_extract("member", r"^([^.]*)", 1) != "_id"))
+    values = plain.select(
+        "view_id", F.get("ordinals", F.lit(0)).alias("graph_no"), F.when(own, below).otherwise(F.col("member")).alias("predicate"),
+        F.when(own, F.element_at("ordinals", -1)).otherwise(0).alias("value_no"), F.when(own & (F.col("member") != ""), F.col("member")).alias("kind"), "value", "seq",
     )
-    views = views.withColumn("r", ns.canonical(F.col("r")))
-
-    graph_rows = tagged.where(graphs).withColumn("graph_no", F.when(step(2) == ITEM, place(0)).otherwise(0))
-    ids = pivot(graph_rows.where((depth == F.col("_rest") + 2) & (part(0) == "_id")), ["view_id", "graph_no"], {"r": part(1) == "r", "c": part(1) == "c"})
-    ids = ids.withColumn("r", ns.canonical(F.col("r")))
-
-    inner = graph_rows.where((depth > F.col("_rest")) & ~part(0).isin("_id") & ~F.col("kind").isin("object", "array"))
-    listed = part(1) == ITEM
-    member = F.when(listed, part(2)).otherwise(part(1))
-    number = F.when(listed, F.get("ordinals", F.when(step(2) == ITEM, 1).otherwise(0))).otherwise(0)
-    plain = depth <= F.col("_rest") + F.when(listed, 3).otherwise(2)
-    values = inner.where(plain & (F.col("kind") != "null")).select("view_id", "graph_no", part(0).alias("predicate"), number.alias("value_no"), member.alias("kind"), "value", "seq")
     values = values.groupBy("view_id", "graph_no", "predicate", "value_no", "kind").agg(F.max_by("value", "seq").alias("value"))
-    bookmarks = values.where("predicate = 'acorn:bookmarkReferences' AND kind = 'u'").select("view_id", "graph_no", "value_no", ns.canonical(F.col("value")).alias("target_r"))
-
-    entry_rows = tagged.where(index).withColumn("entry_no", F.when(step(2) == ITEM, place(0)).otherwise(0))
-    entries = pivot(entry_rows.where(depth == F.col("_rest") + 1), ["view_id", "entry_no"], {"r": part(0) == "r", "c": part(0) == "c"})
-    entries = entries.withColumn("r", ns.canonical(F.col("r")))
-    return {"views": views, "graphs": ids, "values": values, "bookmarks": bookmarks, "impact_index": entries}
+    marks = ".".join((*_GRAPHS, ITEM, "acorn:bookmarkReferences", ITEM))
+    bookmarks = table(marks, "u").toDF("view_id", "graph_no", "value_no", "u").where("u IS NOT NULL").select("view_id", "graph_no", "value_no", ns.canonical(F.col("u")).alias("target_r"))
+    return {"views": views, "graphs": graphs, "values": values, "bookmarks": bookmarks, "impact_index": entries}
 
 
 def flatten_props(resources: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +59,13 @@ def _views(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return nested.view_tables(read(spark, d, "view_docs"), _ns(spark, d))
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The repeated ancestors that occur, the columns of the table of each, and its rows."""
+    tables = nested.all_tables(read(spark, d, "view_docs"), "view_id", "doc")
+    one = lambda a, t: t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(a).alias("ancestor"), F.lit(",".join(t.columns)).alias("columns"), "rows")
+    return reduce(DataFrame.unionByName, [one(a, t) for a, t in tables.items()])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return nested.index_mismatches(_views(spark, d))
 
@@ -100,7 +109,7 @@ def p5_median_day(spark: SparkSession, d: str) -> DataFrame:
     return skew.weighted_percentile(rows, keys, "day", 0.5).select(*keys, F.col("day").cast("string").alias("median_day"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_wide, p4_found, p4_views, p4_values, p4_bookmarks, p4_graphs, p4_resource_bookmarks, p4_impact_index, p5_found, p5_statistics, p5_median_day)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_wide, p4_found, p4_groups, p4_views, p4_values, p4_bookmarks, p4_graphs, p4_resource_bookmarks, p4_impact_index, p5_found, p5_statistics, p5_median_day)}
 
 
 def _p1_sql(tail: str) -> str:
@@ -156,11 +165,32 @@ SELECT view_id, r, c FROM keys WHERE view_id IN (SELECT view_id FROM g) AND view
 HAVING (bool_or(part <> 'index') AND NOT bool_or(part = 'index')) OR (bool_or(part = 'index') AND NOT bool_or(part = 'graph'))"""
 
 
+_VIEW_PARTS = f"""
+WITH docs AS ({_VIEW_JSON}),
+listed AS (SELECT view_id, CASE json_type(x) WHEN 'ARRAY' THEN CAST(x AS JSON[]) WHEN 'OBJECT' THEN [x] END AS gs, CASE json_type(y) WHEN 'ARRAY' THEN CAST(y AS JSON[]) WHEN 'OBJECT' THEN [y] END AS es
+  FROM (SELECT view_id, j->'value'->'_graphs' AS x, j->'value'->'_impactIndex' AS y FROM docs)),
+g AS (SELECT view_id, CAST(unnest(range(len(gs))) AS INTEGER) AS graph_no, unnest(gs) AS g FROM listed),
+e AS (SELECT view_id, CAST(unnest(range(len(es))) AS INTEGER) AS entry_no, unnest(es) AS e FROM listed),
+m AS (SELECT view_id, graph_no, predicate, json_extract(g, '$."' || predicate || '"') AS x FROM (SELECT view_id, graph_no, g, unnest(json_keys(g)) AS predicate FROM g) WHERE predicate <> '_id'),
+n AS (SELECT view_id, graph_no, predicate, CAST(unnest(range(len(xs))) AS INTEGER) AS value_no, unnest(xs) AS x FROM (SELECT view_id, graph_no, predicate, CASE json_type(x) WHEN 'ARRAY' THEN CAST(x AS JSON[]) ELSE [x] END AS xs FROM m)),
+v AS (SELECT view_id, graph_no, predicate, value_no, unnest(CASE WHEN json_type(x) = 'OBJECT' THEN json_keys(x) ELSE [NULL] END) AS kind, x FROM n),
+vals AS (SELECT view_id, graph_no, predicate, value_no, kind, CASE WHEN kind IS NULL THEN x->>'$' ELSE json_extract_string(x, '$."' || kind || '"') END AS value FROM v)
+"""
+
+
 SQL = {
     "p1_found": _p1_sql("SELECT r, c, p, target_r FROM found"),
     "p1_by_period": _p1_sql("SELECT l.p, l.period, count(*) AS links, count(f.p) AS dangling FROM links l LEFT JOIN (SELECT DISTINCT r, c, p, target_r FROM found) f USING (r, c, p, target_r) GROUP BY l.p, l.period").replace("SELECT l.p, l.period", "SELECT l.p AS p, l.period AS period"),
     "p3_found": _p3_sql(),
     "p4_found": _p4_sql(),
+    "p4_views": _VIEW_PARTS + f"""SELECT view_id, doc IS NOT NULL AND json_valid(doc) AS valid, CASE WHEN j IS NULL THEN NULL ELSE {canonical_of_sql("j->'_id'->>'r'")} END AS r, j->'_id'->>'c' AS c, j->'_id'->>'type' AS type, j->>'_cts' AS cts, j->'value'->>'_expires' AS expires,
+CAST(coalesce(len(gs), 0) AS BIGINT) AS graphs, CAST(coalesce(len(es), 0) AS BIGINT) AS index_entries FROM view_docs LEFT JOIN docs USING (view_id) LEFT JOIN listed USING (view_id)""",
+    "p4_graphs": _VIEW_PARTS + f"SELECT view_id, graph_no, {canonical_of_sql("g->'_id'->>'r'")} AS r, g->'_id'->>'c' AS c FROM g WHERE coalesce(g->'_id'->>'r', g->'_id'->>'c') IS NOT NULL",
+    "p4_impact_index": _VIEW_PARTS + f"SELECT view_id, entry_no, {canonical_of_sql("e->>'r'")} AS r, e->>'c' AS c FROM e WHERE coalesce(e->>'r', e->>'c') IS NOT NULL",
+    "p4_values": _VIEW_PARTS + "SELECT * FROM vals WHERE value IS NOT NULL",
+    "p4_bookmarks": _VIEW_PARTS + f"SELECT view_id, graph_no, value_no, {canonical_of_sql('value')} AS target_r FROM vals WHERE predicate = 'acorn:bookmarkReferences' AND kind = 'u' AND value IS NOT NULL",
+    "p4_resource_bookmarks": f"""SELECT row_id, CAST(prop_no AS INTEGER) AS prop_no, x.pos AS value_no, {canonical_of_sql("x.v")} AS target_r FROM (SELECT row_id, unnest(range(len(props))) AS prop_no, unnest(props) AS x FROM resources)
+WHERE x.p = 'acorn:bookmarkReferences' AND x.k = 'u' AND x.v IS NOT NULL""",
     "p5_found": _P5_ROWS + f" SELECT field, key_value FROM every GROUP BY field, key_value HAVING key_value IS NOT NULL AND count(*) * {HEAVY_ONE_IN} >= (SELECT count(*) FROM resources)",
     "p5_statistics": _P5_ROWS + """, per AS (SELECT field, key_value, CAST(_cts AS DATE) AS day, count(*) AS w, max(_cts) AS latest FROM every GROUP BY ALL)
 SELECT field, key_value, CAST(sum(w) AS BIGINT) AS rows, max(latest) AS latest_cts, count(day) AS distinct_values, CAST(arg_min(day, (-w, day)) FILTER (day IS NOT NULL) AS VARCHAR) AS mode_day FROM per GROUP BY field, key_value""",
