@@ -7,7 +7,6 @@ are compacted to the left.
 
 from __future__ import annotations
 
-import heapq
 import json
 import sys
 import unicodedata
@@ -15,7 +14,7 @@ from functools import cache
 
 import numpy as np
 
-#: Longest piece, in bytes, that goes through the matrices; longer ones are merged over a heap, to the same result.
+#: Longest piece, in bytes, of which many lie in one matrix; a longer one is a matrix of one row.
 WIDEST = 64
 _OTHER, _SPACE, _LETTER, _NUMBER = 0, 1, 2, 3
 
@@ -86,16 +85,17 @@ class Merges:
         left = np.array([vocabulary[a] for a, _ in pairs], np.int64)
         right = np.array([vocabulary[b] for _, b in pairs], np.int64)
         self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
+        self.symbols = max(vocabulary.values()) + 1
         self._hash(left, right)
-        self.rank = {(int(a), int(b)): k for k, (a, b) in enumerate(zip(left, right, strict=True))}
 
     def _hash(self, left: np.ndarray, right: np.ndarray) -> None:
         """An open table of the pairs: pair in keys, its rank in ranks; as many probes as the longest chain."""
-        size = 1 << 18
+        self.bits = max(4, int(np.ceil(np.log2(4 * len(left) + 1))))
+        size = 1 << self.bits
         self.mask = size - 1
         self.keys = np.full(size, -1, np.int64)
         self.ranks = np.full(size, np.iinfo(np.int32).max, np.int32)
-        keys = (left << 20) | right
+        keys = left * self.symbols + right
         waiting, probe = np.arange(len(keys)), 0
         while len(waiting):
             slots = (self._slot(keys[waiting]) + probe) & self.mask
@@ -109,11 +109,11 @@ class Merges:
         self.probes = probe
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair; the largest int32 where there is none."""
-        keys = (left.astype(np.int64) << 20) | right
+        keys = left.astype(np.int64) * self.symbols + right
         slots = self._slot(keys)
         out = np.full(keys.shape, np.iinfo(np.int32).max, np.int32)
         open_ = np.arange(keys.size)
@@ -167,27 +167,29 @@ class Merges:
             inner = where < wide - 2
             ranks[each[inner], where[inner]] = self.find(now[inner, where[inner]], now[inner, where[inner] + 1])
 
-    def encode_long(self, data: bytes) -> list[int]:
-        """The ids of one piece of any length: the same merges over a heap, in n log n steps."""
-        symbols = [int(x) for x in self.byte_ids[np.frombuffer(data, np.uint8)]]
-        n = len(symbols)
-        before, behind, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-        heap = [(r, k) for k in range(n - 1) if (r := self.rank.get((symbols[k], symbols[k + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, k = heapq.heappop(heap)
-            nxt = behind[k]
-            if not alive[k] or nxt >= n or self.rank.get((symbols[k], symbols[nxt])) != rank:
-                continue
-            symbols[k], alive[nxt] = int(self.made[rank]), False
-            behind[k] = behind[nxt]
-            if behind[k] < n:
-                before[behind[k]] = k
-                if (r := self.rank.get((symbols[k], symbols[behind[k]]))) is not None:
-                    heapq.heappush(heap, (r, k))
-            if before[k] >= 0 and (r := self.rank.get((symbols[before[k]], symbols[k]))) is not None:
-                heapq.heappush(heap, (r, before[k]))
-        return [s for s, a in zip(symbols, alive, strict=True) if a]
+    def encode_row(self, now: np.ndarray) -> np.ndarray:
+        """The ids of one row of symbols of any length. Each round merges all places of the pair of least rank at once, from left to
+        right: what a merge makes has pairs of greater rank only, so the result is that of one place after the other."""
+        none = np.iinfo(np.int32).max
+        now = now.astype(np.int32)
+        ranks = self.find(now[:-1], now[1:])
+        while len(ranks):
+            least = ranks.min()
+            if least == none:
+                break
+            at = np.flatnonzero(ranks == least)
+            # Of places that overlap every other one counts.
+            first = np.append(True, np.diff(at) > 1)
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            now[at] = self.made[least]
+            now = np.delete(now, at + 1)
+            ranks = np.delete(ranks, at)
+            at = at - np.arange(len(at))
+            changed = np.unique(np.concatenate([at - 1, at]))
+            changed = changed[(changed >= 0) & (changed < len(ranks))]
+            ranks[changed] = self.find(now[changed], now[changed + 1])
+        return now
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of text k are ids[offsets[k]:offsets[k + 1]]; null and empty texts have none."""
@@ -239,7 +241,7 @@ class Merges:
             which = order[bounds[k] : bounds[k + 1]]
             if length > WIDEST:
                 bodies = [data[b : b + n].tobytes() for b, n in zip(begin[which], size[which], strict=True)]
-                known = {body: self.encode_long(body) for body in set(bodies)}
+                known = {body: self.encode_row(self.byte_ids[np.frombuffer(body, np.uint8)]) for body in set(bodies)}
                 places = {body: p for p, body in enumerate(known)}
                 lens = np.array([len(x) for x in known.values()], np.int64)
                 ids = np.zeros((len(known), int(lens.max())), np.int32)

@@ -23,6 +23,7 @@ def test_bpe_equals_the_library():
     reference.encode_special_tokens = True
     draw = random.Random(1)
     texts = ODD + ["".join(draw.choice("ab 's'tre\n\t 1é½…ﬁ vlmd") for _ in range(draw.randint(1, 80))) for _ in range(2000)]
+    texts += ["".join(draw.choice("abcdeè日") for _ in range(n)) for n in (63, 64, 65, 66, 200, 3000, 100_000)] + ["a" * 101, "the" * 40_000, "=" * 70_001]
     offsets, ids = bpe.merges(VOCABULARY).encode(texts)
     want = [e.ids for e in reference.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == want
