@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from tessera.functions.text import not_blank
 from tessera.functions.uri import Namespaces
 from tessera.operators.records import current_rows, with_record_key
+from tessera.session import written
 
 #: Which table the values of a predicate refer to.
 TARGETS = {"dct:isVersionOf": "works", "acorn:listReferences": "lists", "dct:source": "resources"}
 _KEY = ["p", "target_r", "c"]
+#: A target is hot if it holds more than one link in so many; there are no more hot targets than that.
+HOT_ONE_IN = 10_000
 
 
 def links(resources: DataFrame, ns: Namespaces, predicates: list[str]) -> DataFrame:
@@ -59,17 +62,22 @@ def dangling_references(resources: DataFrame, tables: dict[str, DataFrame], ns:
     either side proves no late arrival. An empty parent table leaves every link to it dangling; an empty `resources`
     gives two empty results.
     """
-    every = links(resources, ns, list(tables))
+    every = written(links(resources, ns, list(tables)), "links")
     there = parents(tables, ns)
-    keys = every.groupBy(*_KEY).agg(F.min("arrived_at").alias("first_link"))
+    keys = every.groupBy(*_KEY).agg(F.min("arrived_at").alias("first_link"), F.count(F.lit(1)).alias("n"))
     held = there.select(*[F.col(k).alias(f"h_{k}") for k in _KEY], F.col("first_arrived").alias("h_first"))
     same = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"h_{k}") for k in _KEY])
     in_time = F.coalesce(F.col("h_first") <= F.col("first_link"), F.lit(True))
-    suspects = keys.join(held, same & in_time, "left_anti").select(*_KEY)
-    suspects = suspects.join(there, _KEY, "left").select(*_KEY, "first_arrived")
+    suspects = keys.join(held, same & in_time, "left_anti").select(*_KEY, "n")
+    suspects = written(suspects.join(there, _KEY, "left").select(*_KEY, "n", "first_arrived"), "suspects")
     # A suspect without first_arrived has no living target, as one with a null arrival passes the anti-join. Where it has
     # one, only the links before its arrival dangle.
-    found = every.join(suspects, _KEY, "inner").where(F.col("first_arrived").isNull() | (F.col("first_arrived") > F.col("arrived_at")))
+    # At most HOT_ONE_IN targets hold so large a share of all links each; they go to the links, all others meet theirs by key.
+    hot_share = F.col("n") * F.lit(HOT_ONE_IN) > keys.agg(F.sum("n").alias("n")).scalar()
+    hot = F.broadcast(suspects.where(hot_share))
+    cold = every.join(hot.select(*_KEY), _KEY, "left_anti").join(suspects.where(~hot_share), _KEY, "inner")
+    both = cold.unionByName(every.join(hot, _KEY, "inner"))
+    found = both.where(F.col("first_arrived").isNull() | (F.col("first_arrived") > F.col("arrived_at")))
     return every, found.select("r", "c", "p", "target_r", "period")
 
 

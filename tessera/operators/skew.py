@@ -6,11 +6,14 @@ first aggregation is partial on the map side, so a hot key sends one row per val
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import not_blank
 from tessera.functions.uri import Namespaces
+from tessera.session import written
 
 
 def compress(rows: DataFrame, keys: list[str], value: str, latest: str) -> DataFrame:
@@ -35,13 +38,24 @@ def per_key(compressed: DataFrame, keys: list[str], value: str, latest: str) ->
 def weighted_percentile(compressed: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """keys, value: the smallest value that at least `share` of the key's values don't exceed, exact.
 
-    The running weight is taken over the distinct values of a key, not over its records.
+    The weighted values are range-partitioned by key and value, so a key with many different values lies in many tasks. Each task
+    sums its part of every key it holds; what comes before a task is the sum of the parts of earlier ones, and only the
+    part in which the share is reached is looked at value by value.
     """
-    per = Window.partitionBy(*keys)
-    running = per.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = compressed.where(F.col(value).isNotNull())
-    reached = known.select(*keys, value, F.sum("weight").over(running).alias("_run"), F.sum("weight").over(per).alias("_all"))
-    return reached.where(F.col("_run") >= F.lit(share) * F.col("_all")).groupBy(*keys).agg(F.min(value).alias(value))
+    known = compressed.where(F.col(value).isNotNull()).select(*keys, value, "weight")
+    # Written once, so that every look at it sees the same parts.
+    ordered = written(known.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "weights")
+    parts = ordered.groupBy(*keys, "_part").agg(F.sum("weight").alias("_here"))
+    # One row per key and part: as many as there are keys, and tasks at most for each.
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = parts.select(*keys, "_part", "_here", F.sum("_here").over(earlier).alias("_upto"), F.sum("_here").over(Window.partitionBy(*keys)).alias("_all"))
+    wanted = F.lit(share) * F.col("_all")
+    hit = sums.where((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_here") < wanted))
+    same = reduce(lambda a, b: a & b, [F.col(f"o.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*keys, "_part"]])
+    near = ordered.alias("o").join(hit.alias("h"), same).select(*[F.col(f"o.{k}") for k in [*keys, value, "weight"]], (F.col("h._upto") - F.col("h._here")).alias("_before"), F.col("h._all").alias("_all"))
+    inside = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = near.withColumn("_run", F.col("_before") + F.sum("weight").over(inside)).where(F.col("_run") >= F.lit(share) * F.col("_all"))
+    return reached.groupBy(*keys).agg(F.min(value).alias(value))
 
 
 def key_rows(resources: DataFrame, ns: Namespaces) -> DataFrame:
@@ -68,5 +82,6 @@ def heavy_keys(statistics: DataFrame, one_in: int) -> DataFrame:
 
     Every row has exactly one graph, null included, so the rows of all graphs are all rows.
     """
+    statistics = written(statistics.select("field", "key_value", "rows"), "statistics")
     total = statistics.where("field = 'id.c'").agg(F.sum("rows").alias("n")).scalar()
     return statistics.where(F.col("key_value").isNotNull() & (F.col("rows") * F.lit(one_in) >= total)).select("field", "key_value")

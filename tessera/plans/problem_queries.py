@@ -55,6 +55,14 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(*[F.to_json(c).alias(c) if t.startswith("array") else F.col(c).cast("string").alias(c) for c, t in rows.dtypes])
 
 
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of the wide rows that hold a value, one row each: numbers and dates as they are written, lists as JSON."""
+    rows, declared = p3_wide(spark, d), attributes.declared(read(spark, d, "predicates"))
+    value = lambda a: F.when(F.col(a.column) != "[]", F.col(a.column)) if a.many else F.col(a.column)
+    cells = F.array(*[F.struct(F.lit(a.name).alias("p"), value(a).alias("value")) for a in declared])
+    return rows.select("s", "c", F.explode(cells).alias("x")).select("s", "c", "x.p", "x.value").where("value IS NOT NULL")
+
+
 def _views(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return nested.view_tables(read(spark, d, "view_docs"), _ns(spark, d))
 
@@ -109,7 +117,7 @@ def p5_median_day(spark: SparkSession, d: str) -> DataFrame:
     return skew.weighted_percentile(rows, keys, "day", 0.5).select(*keys, F.col("day").cast("string").alias("median_day"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_wide, p4_found, p4_groups, p4_views, p4_values, p4_bookmarks, p4_graphs, p4_resource_bookmarks, p4_impact_index, p5_found, p5_statistics, p5_median_day)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_by_period, p2_found, p3_found, p3_wide, p3_values, p4_found, p4_groups, p4_views, p4_values, p4_bookmarks, p4_graphs, p4_resource_bookmarks, p4_impact_index, p5_found, p5_statistics, p5_median_day)}
 
 
 def _p1_sql(tail: str) -> str:
@@ -178,10 +186,29 @@ vals AS (SELECT view_id, graph_no, predicate, value_no, kind, CASE WHEN kind IS
 """
 
 
+def _p3_wide_sql() -> str:
+    """The wide rows by DuckDB, whose columns are those of the declared attributes of these tables."""
+    v = strip_sql("t.o")
+    plain = "regexp_replace(regexp_replace(regexp_replace(v, '^[+]', ''), '^(-?)0+([0-9])', '\\1\\2'), '^-0$', '0')"
+    return f"""
+WITH t AS (SELECT {canonical_of_sql("t.s")} AS s, t.c AS c, {canonical_of_sql("t.p")} AS full_p, t.pos AS pos, CASE WHEN {not_blank_sql("t.o")} THEN {v} END AS v FROM triples t WHERE t.s IS NOT NULL AND t.c IS NOT NULL),
+known AS (SELECT p, data_type, multiplicity, {canonical_of_sql("p")} AS full_p FROM predicates),
+typed AS (SELECT s, c, p, data_type, multiplicity, v, pos, CASE data_type
+  WHEN 'integer' THEN CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN {plain} END
+  WHEN 'decimal' THEN CASE WHEN regexp_full_match(v, '[+-]?[0-9]+([.][0-9]+)?') THEN CAST(CAST(v AS DECIMAL(38,12)) AS VARCHAR) END
+  WHEN 'date' THEN CASE WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN CAST(TRY_CAST(v AS DATE) AS VARCHAR) END
+  WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', '1') THEN 'true' WHEN lower(v) IN ('false', '0') THEN 'false' END
+  ELSE v END AS tv FROM t JOIN known USING (full_p) WHERE v IS NOT NULL),
+cells AS (SELECT s, c, p, CASE WHEN count(*) = count(tv) AND min(tv) = max(tv) THEN min(tv) END AS value, count(*) > count(tv) OR min(tv) <> max(tv) AS bad FROM typed WHERE multiplicity = 'one' GROUP BY s, c, p),
+lists AS (SELECT s, c, p, to_json(list(tv ORDER BY pos, tv)) AS value FROM (SELECT s, c, p, tv, min(pos) AS pos FROM typed WHERE multiplicity = 'many' AND tv IS NOT NULL GROUP BY s, c, p, tv) GROUP BY s, c, p)
+SELECT s, c, p, CAST(value AS VARCHAR) AS value FROM cells WHERE value IS NOT NULL UNION ALL SELECT s, c, p, CAST(value AS VARCHAR) FROM lists"""
+
+
 SQL = {
     "p1_found": _p1_sql("SELECT r, c, p, target_r FROM found"),
     "p1_by_period": _p1_sql("SELECT l.p, l.period, count(*) AS links, count(f.p) AS dangling FROM links l LEFT JOIN (SELECT DISTINCT r, c, p, target_r FROM found) f USING (r, c, p, target_r) GROUP BY l.p, l.period").replace("SELECT l.p, l.period", "SELECT l.p AS p, l.period AS period"),
     "p3_found": _p3_sql(),
+    "p3_values": _p3_wide_sql(),
     "p4_found": _p4_sql(),
     "p4_views": _VIEW_PARTS + f"""SELECT view_id, doc IS NOT NULL AND json_valid(doc) AS valid, CASE WHEN j IS NULL THEN NULL ELSE {canonical_of_sql("j->'_id'->>'r'")} END AS r, j->'_id'->>'c' AS c, j->'_id'->>'type' AS type, j->>'_cts' AS cts, j->'value'->>'_expires' AS expires,
 CAST(coalesce(len(gs), 0) AS BIGINT) AS graphs, CAST(coalesce(len(es), 0) AS BIGINT) AS index_entries FROM view_docs LEFT JOIN docs USING (view_id) LEFT JOIN listed USING (view_id)""",
