@@ -101,6 +101,9 @@ def etag(pod: Pod) -> DataFrame:
 class CountCache:
     """Counts kept for a time, by query and grouping; a count of nothing is taken anew."""
 
+    #: Most groups that are held.
+    MOST = 100_000
+
     def __init__(self, clock=time.time) -> None:
         self._kept: dict[str, tuple[float, object]] = {}
         self._clock = clock
@@ -111,6 +114,10 @@ class CountCache:
         held = self._kept.get(key)
         if held and held[0] + ttl > self._clock() and held[1]:
             return held[1]
-        found = {r["key"]: r["count"] for r in count_by(pod, query, group).toLocalIterator()} if group else count(pod, query).first()["count"]
+        if group:
+            rows = count_by(pod, query, group).limit(self.MOST + 1).collect()
+            if len(rows) > self.MOST:
+                raise ValueError(f"more than {self.MOST} groups; count_by() gives them as a frame")
+        found = {r["key"]: r["count"] for r in rows} if group else count(pod, query).first()["count"]
         self._kept[key] = (self._clock(), found)
         return found

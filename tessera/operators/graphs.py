@@ -63,6 +63,41 @@ def subjects_of_change(change: DataFrame) -> DataFrame:
     return change.groupBy("s").agg(tally("add").alias("additions"), tally("remove").alias("removals"))
 
 
+def has_changes(change: DataFrame) -> bool:
+    return not change.isEmpty()
+
+
+class TripleError(ValueError):
+    """A triple whose subject or predicate is no name."""
+
+
+def _is_name(c: Column) -> Column:
+    return F.coalesce(c.rlike(r"^(_:\S+|[^\s<>\"]+:[^\s<>\"]*)$"), F.lit(False))
+
+
+def add(triples: DataFrame, new: DataFrame) -> DataFrame:
+    """triples with those of new, each once. A subject or predicate that is no name raises TripleError; an object that is no name
+    is left out, as is a null literal."""
+    wrong = new.where(~_is_name(F.col("s")) | ~_is_name(F.col("p"))).first()
+    if wrong:
+        raise TripleError(f"subject or predicate is no name: {wrong['s']} {wrong['p']}")
+    good = new.where(F.when(F.col("k") == "l", F.col("o").isNotNull()).otherwise(_is_name(F.col("o"))))
+    return union(triples, good)
+
+
+def replace_literal(triples: DataFrame, s: str, p: str, old: str, new: str) -> DataFrame:
+    """One literal of a subject and predicate in place of another."""
+    hit = (F.col("s") == s) & (F.col("p") == p) & (F.col("k") == "l") & (F.col("o") == old)
+    return triples.withColumn("o", F.when(hit, F.lit(new)).otherwise(F.col("o"))).dropDuplicates(_keys(triples))
+
+
+def replace_values(triples: DataFrame, s: str, p: str, kind: str, values: list[str]) -> DataFrame:
+    """The values of one kind of a subject and predicate replaced by others."""
+    kept = triples.where(~F.coalesce((F.col("s") == s) & (F.col("p") == p) & ((F.col("k") == "l") == F.lit(kind == "l")), F.lit(False)))
+    rows = [(s, p, n, kind, v) for n, v in enumerate(dict.fromkeys(values))]
+    return kept.unionByName(triples.sparkSession.createDataFrame(rows, "s string, p string, pos int, k string, o string"), allowMissingColumns=True)
+
+
 def reify(triples: DataFrame, prefix: str = "_:r") -> DataFrame:
     """Four triples for each triple: a statement and its subject, predicate and object. Its name is a hash of the triple."""
     name = F.concat(F.lit(prefix), F.sha1(F.concat_ws("\u0000", "s", "p", "k", "o")))
@@ -141,7 +176,7 @@ def replace_uri(triples: DataFrame, old: str, new: str) -> DataFrame:
 
 def sequence_number(predicate: Column) -> Column:
     """n of rdf:_n; null for other predicates."""
-    return F.when(predicate.rlike("^rdf:_[0-9]{1,9}$"), F.substring(predicate, 6, 9).cast("int"))
+    return F.when(predicate.rlike("^rdf:_[0-9]{1,18}$"), F.substring(predicate, 6, 18).cast("bigint"))
 
 
 def sequence_values(triples: DataFrame) -> DataFrame:
@@ -166,6 +201,20 @@ def renumber_sequences(triples: DataFrame) -> DataFrame:
     return triples.where(sequence_number(F.col("p")).isNull()).unionByName(numbered)
 
 
+def insert_in_sequence(triples: DataFrame, sequence: str, position: int, kind: str, value: str) -> DataFrame:
+    """A member put at a position of a sequence: those from there on whose numbers follow without a gap move up by one."""
+    number = sequence_number(F.col("p"))
+    mine = (F.col("s") == sequence) & number.isNotNull()
+    taken = triples.where(mine & (number >= position)).select(number.alias("n")).distinct()
+    # n - (how many are taken below it) stays the same along an unbroken run from `position` on.
+    order = Window.partitionBy(F.lit(sequence)).orderBy("n")
+    run = taken.withColumn("k", F.row_number().over(order)).where(F.col("n") == F.col("k") + position - 1).agg(F.max("n").alias("top")).first()["top"]
+    top = position - 1 if run is None else int(run)
+    moved = triples.withColumn("p", F.when(mine & number.between(position, top), F.concat(F.lit("rdf:_"), (number + 1).cast("string"))).otherwise(F.col("p")))
+    row = triples.sparkSession.createDataFrame([(sequence, f"rdf:_{position}", 0, kind, value)], "s string, p string, pos int, k string, o string")
+    return moved.unionByName(row, allowMissingColumns=True)
+
+
 def remove_from_sequence(triples: DataFrame, sequence: str, value: str) -> DataFrame:
     """The sequence without a member, numbered anew."""
     gone = (F.col("s") == sequence) & (F.col("o") == value) & sequence_number(F.col("p")).isNotNull()
@@ -199,3 +248,31 @@ def label(triples: DataFrame, predicates: list[str]) -> DataFrame:
     found = first_literal(triples, predicates).select(F.col("s").alias("_s"), "o")
     plain = F.lower(F.regexp_replace(F.regexp_extract("s", r"([^/#:]*)$", 1), r"([a-z])([A-Z])", "$1 $2"))
     return triples.select("s").distinct().join(found, F.col("s") == F.col("_s"), "left").select(F.col("s").alias("r"), F.coalesce("o", plain).alias("label"))
+
+
+def plural_label(triples: DataFrame, predicates: list[str], plurals: list[str]) -> DataFrame:
+    """r, label: the first literal of `plurals`, else the label of label() as English forms its plural."""
+    one = F.col("label")
+    many = (
+        F.when(one.rlike("(?i)[^aeiou]y$"), F.regexp_replace(one, "(?i)y$", "ies"))
+        .when(one.rlike("(?i)(s|x|z|ch|sh)$"), F.concat(one, F.lit("es"))).otherwise(F.concat(one, F.lit("s")))
+    )
+    return _labelled(triples, plurals, label(triples, predicates).select("r", many.alias("label")))
+
+
+def inverse_label(triples: DataFrame, predicates: list[str], inverses: list[str]) -> DataFrame:
+    """r, label: the first literal of `inverses`, else `is (label) of`."""
+    return _labelled(triples, inverses, label(triples, predicates).select("r", F.concat(F.lit("is "), "label", F.lit(" of")).alias("label")))
+
+
+def _labelled(triples: DataFrame, predicates: list[str], otherwise: DataFrame) -> DataFrame:
+    if not predicates:
+        return otherwise
+    found = first_literal(triples, predicates).select(F.col("s").alias("_s"), "o")
+    return otherwise.join(found, F.col("r") == F.col("_s"), "left").select("r", F.coalesce("o", "label").alias("label"))
+
+
+def label_graph(triples: DataFrame, predicates: list[str], as_predicate: str = "rdfs:label") -> DataFrame:
+    """triples with a label for every subject that has none of the predicates."""
+    made = label(triples, predicates).join(triples.where(F.col("p").isin([*predicates, as_predicate])).select(F.col("s").alias("r")).distinct(), "r", "left_anti")
+    return union(triples, made.select(F.col("r").alias("s"), F.lit(as_predicate).alias("p"), F.lit("l").alias("k"), F.col("label").alias("o")))

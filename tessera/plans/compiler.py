@@ -162,8 +162,8 @@ def _keys(pod: Pod, predicate: str, joined: dict) -> Column:
 
 def sequence(pod: Pod, most: int) -> Column:
     """The URIs of rdf:_1, rdf:_2 and so on up to `most`, in that order."""
-    members = F.filter(pod.all_values(), lambda x: x["p"].rlike("^rdf:_[0-9]{1,9}$") & (x["k"] == "u"))
-    numbered = F.transform(members, lambda x: F.struct(F.substring(x["p"], 6, 9).cast("int").alias("n"), x["pos"].alias("pos"), x["v"].alias("v")))
+    members = F.filter(pod.all_values(), lambda x: x["p"].rlike("^rdf:_[0-9]{1,18}$") & (x["k"] == "u"))
+    numbered = F.transform(members, lambda x: F.struct(F.substring(x["p"], 6, 18).cast("bigint").alias("n"), x["pos"].alias("pos"), x["v"].alias("v")))
     return F.array_distinct(F.transform(F.array_sort(F.filter(numbered, lambda x: (x["n"] >= 1) & (x["n"] <= most))), lambda x: x["v"]))
 
 
@@ -317,11 +317,11 @@ def included(pod: Pod, part: dict) -> Column:
     props = F.filter(pod.all_values(), lambda x: x["p"].isin(kept))
     if "_seq_" not in names:
         return props
-    members = F.filter(pod.all_values(), lambda x: x["p"].rlike("^rdf:_[0-9]{1,9}$"))
-    numbers = F.array_sort(F.array_distinct(F.transform(members, lambda x: F.substring(x["p"], 6, 9).cast("int"))))
+    members = F.filter(pod.all_values(), lambda x: x["p"].rlike("^rdf:_[0-9]{1,18}$"))
+    numbers = F.array_sort(F.array_distinct(F.transform(members, lambda x: F.substring(x["p"], 6, 18).cast("bigint"))))
     # Sorted distinct numbers from 1 on equal their places up to the first gap.
     unbroken = F.filter(F.transform(numbers, lambda n, i: F.when(n == i + 1, n)), lambda n: n.isNotNull())
-    sequenced = F.filter(members, lambda x: F.array_contains(unbroken, F.substring(x["p"], 6, 9).cast("int")))
+    sequenced = F.filter(members, lambda x: F.array_contains(unbroken, F.substring(x["p"], 6, 18).cast("bigint")))
     is_sequence = F.exists(pod.texts("rdf:type"), lambda t: t == "rdf:Seq")
     return F.when(is_sequence, F.concat(props, sequenced)).otherwise(props)
 

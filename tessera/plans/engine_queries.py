@@ -422,7 +422,7 @@ def triple_count(pods):
     return graphs.triple_count(pods["customers"].triples(), p="ex:nation", o="ex:nation/5")
 
 
-@query(f"SELECT r AS s, CAST(n AS INTEGER) AS n, 'u' AS k, part AS o FROM ({_LINES})")
+@query(f"SELECT r AS s, CAST(n AS BIGINT) AS n, 'u' AS k, part AS o FROM ({_LINES})")
 def sequence_values(pods):
     return graphs.sequence_values(pods["sequences"].triples())
 

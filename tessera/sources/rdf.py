@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.uri import Namespaces
+from tessera.functions.uri import Namespaces, let
 
 _TERM = r"(<[^>]*>|_:\S+)"
 _OBJECT = r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)'
@@ -14,7 +16,9 @@ _LINE = rf"^\s*{_TERM}\s+(<[^>]*>)\s+{_OBJECT}\s*{_TERM}?\s*\.\s*(?:#.*)?$"
 
 def _unescape(text: Column) -> Column:
     """The escapes of N-Triples; \\uXXXX and \\UXXXXXXXX through the JSON reader, so all in the JVM."""
-    wide = F.regexp_replace(text, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    tokens = F.regexp_extract_all(text, F.lit(r"(?s)(\\U[0-9A-Fa-f]{8}|\\.|[^\\]+)"), F.lit(1))
+    one = lambda t: F.when(t.rlike(r"^\\U[0-9A-Fa-f]{8}$"), F.decode(F.unhex(F.substring(t, 3, 8)), "UTF-32")).otherwise(t)
+    wide = F.when(text.contains("\\U"), F.array_join(F.transform(tokens, one), "")).otherwise(text)
     body = F.concat(F.lit('{"x":"'), F.regexp_replace(F.regexp_replace(wide, r"\\'", "'"), "[\\x00-\\x1f]", " "), F.lit('"}'))
     return F.when(text.contains("\\"), F.coalesce(F.get_json_object(body, "$.x"), text)).otherwise(text)
 
@@ -35,7 +39,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         bare(F.col("s")).alias("s"), bare(F.col("p")).alias("p"),
         F.when(literal, "l").when(o.startswith("_:"), "b").otherwise("u").alias("k"),
         F.when(literal, _unescape(text)).otherwise(bare(o)).alias("o"),
-        F.when(tail.startswith("@"), F.substring(tail, 2, 100)).alias("lang"),
+        F.when(tail.startswith("@"), F.regexp_replace(tail, "^@", "")).alias("lang"),
         F.when(tail.startswith("^^"), F.substring(tail, F.lit(4), F.length(tail) - 4)).alias("dt"),
         F.when(F.col("g") != "", bare(F.col("g"))).alias("g"),
     )
@@ -48,27 +52,83 @@ def escape(text: Column) -> Column:
     return text
 
 
-def term(kind: Column, value: Column, lang: Column | None = None, dt: Column | None = None) -> Column:
+def escape_ascii(text: Column) -> Column:
+    """escape() with \\uXXXX and \\UXXXXXXXX for control characters and all that isn't ASCII."""
+
+    def code(x: Column) -> Column:
+        point = F.ascii(x)
+        wide = lambda mark, n: F.concat(F.lit(mark), F.lpad(F.hex(point.cast("bigint")), n, "0"))
+        return F.when(point.between(32, 126), x).when(point < 65536, wide("\\u", 4)).otherwise(wide("\\U", 8))
+
+    made = let(escape(text), lambda t: F.when(t.rlike("[^ -~]"), F.array_join(F.transform(F.split(t, ""), code), "")).otherwise(t))
+    return F.when(text.isNotNull(), made)
+
+
+def term(kind: Column, value: Column, lang: Column | None = None, dt: Column | None = None, escaped: Callable[[Column], Column] = escape) -> Column:
     """A term as N-Triples writes it."""
     tail = F.lit("")
     if lang is not None:
         tail = F.when(lang.isNotNull(), F.concat(F.lit("@"), lang)).otherwise(tail)
     if dt is not None:
         tail = F.when(dt.isNotNull(), F.concat(F.lit("^^<"), dt, F.lit(">"))).otherwise(tail)
-    return F.when(kind == "l", F.concat(F.lit('"'), escape(value), F.lit('"'), tail)).when(value.startswith("_:"), value).otherwise(F.concat(F.lit("<"), escape(value), F.lit(">")))
+    return F.when(kind == "l", F.concat(F.lit('"'), escaped(value), F.lit('"'), tail)).when(value.startswith("_:"), value).otherwise(F.concat(F.lit("<"), escaped(value), F.lit(">")))
+
 
+def to_lines(triples: DataFrame, ns: Namespaces, quads: bool = False, ascii_only: bool = False) -> DataFrame:
+    """value: one N-Triples line for each triple (c, s, p, k, o), or with quads one N-Quads line; names are written in full.
 
-def to_lines(triples: DataFrame, ns: Namespaces, quads: bool = False) -> DataFrame:
-    """value: one N-Triples line for each triple (c, s, p, k, o), or with quads one N-Quads line; names are written in full."""
+    Subjects that are no names give none. ascii_only: other characters as escapes.
+    """
+    escaped = escape_ascii if ascii_only else escape
+    triples = triples.where(F.col("s").contains(":"))
     full = lambda c: ns.expand(F.col(c))
     get = lambda c: F.col(c) if c in triples.columns else None
     kind = F.lit("u")
     o = F.when(F.col("k") == "l", F.col("o")).otherwise(full("o"))
-    parts = [term(kind, full("s")), term(kind, full("p")), term(F.col("k"), o, get("lang"), get("dt"))]
-    parts += [term(kind, full("c"))] if quads else []
+    parts = [term(kind, full("s"), escaped=escaped), term(kind, full("p"), escaped=escaped), term(F.col("k"), o, get("lang"), get("dt"), escaped)]
+    parts += [term(kind, full("c"), escaped=escaped)] if quads else []
     return triples.select(F.concat(F.concat_ws(" ", *parts), F.lit(" .")).alias("value"))
 
 
+def to_turtle(triples: DataFrame, ns: Namespaces) -> DataFrame:
+    """value: one Turtle statement for each subject, with its predicates and their values; names are written in full, so that every
+    line can be read alone."""
+    full = lambda c: ns.expand(F.col(c))
+    get = lambda c: F.col(c) if c in triples.columns else None
+    o = term(F.col("k"), F.when(F.col("k") == "l", F.col("o")).otherwise(full("o")), get("lang"), get("dt"))
+    flat = triples.where(F.col("s").contains(":")).select(term(F.lit("u"), full("s")).alias("s"), term(F.lit("u"), full("p")).alias("p"), o.alias("o"))
+    values = flat.groupBy("s", "p").agg(F.array_join(F.array_sort(F.collect_set("o")), ", ").alias("o"))
+    return values.groupBy("s").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "p", "o"))), " ; ").alias("po")).select(F.concat_ws(" ", "s", "po", F.lit(".")).alias("value"))
+
+
+def to_rdf_xml(triples: DataFrame, ns: Namespaces) -> DataFrame:
+    """place, value: RDF/XML: the head (place 0), an element for each subject (1) and the end (2).
+
+    A predicate is written with the namespace up to its last / or #, or the last part of a name it can't be written with is left
+    out: such triples have no form in RDF/XML.
+    """
+    mark = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    full = lambda c: ns.expand(F.col(c))
+    split = r"^(.*[/#])([A-Za-z_][\w.-]*)$"
+    flat = triples.where(F.col("s").contains(":") & full("p").rlike(split)).select(full("s").alias("s"), F.regexp_extract(full("p"), split, 1).alias("space"), F.regexp_extract(full("p"), split, 2).alias("name"), "k", F.when(F.col("k") == "l", F.col("o")).otherwise(full("o")).alias("o"))
+    named = lambda c, attribute: F.when(c.startswith("_:"), F.concat(F.lit(' rdf:nodeID="'), mark(F.regexp_replace(c, "^_:", "")), F.lit('"'))).otherwise(F.concat(F.lit(f' rdf:{attribute}="'), mark(c), F.lit('"')))
+    inner = F.when(F.col("k") == "l", F.concat(F.lit(">"), mark(F.col("o")), F.lit("</x:"), "name", F.lit(">"))).otherwise(F.concat(named(F.col("o"), "resource"), F.lit("/>")))
+    element = F.concat(F.lit("<x:"), "name", F.lit(' xmlns:x="'), mark(F.col("space")), F.lit('"'), inner)
+    bodies = flat.select("s", element.alias("e")).groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("e")), "").alias("e"))
+    rows = bodies.select(F.lit(1).alias("place"), F.concat(F.lit("<rdf:Description"), named(F.col("s"), "about"), F.lit(">"), "e", F.lit("</rdf:Description>")).alias("value"))
+    ends = [(0, '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#">'), (2, "</rdf:RDF>")]
+    return rows.unionByName(triples.sparkSession.createDataFrame(ends, "place int, value string"))
+
+
+def suggest_prefixes(namespaces: DataFrame, ns: Namespaces) -> DataFrame:
+    """namespace, prefix: a prefix for each namespace, its last part that has letters; numbered where it is taken already."""
+    word = F.lower(F.regexp_extract("namespace", r"([A-Za-z][A-Za-z0-9]*)[^A-Za-z]*$", 1))
+    taken = F.when(word.isin(sorted(ns.uris)), 1).otherwise(0)
+    order = Window.partitionBy("word").orderBy("namespace")
+    rows = namespaces.select("namespace").distinct().select("namespace", word.alias("word"), taken.alias("taken")).withColumn("nth", F.row_number().over(order) - 1 + F.col("taken"))
+    return rows.select("namespace", F.concat("word", F.when(F.col("nth") > 0, F.col("nth").cast("string")).otherwise(F.lit(""))).alias("prefix"))
+
+
 def parse_rdf_json(documents: DataFrame, column: str = "value") -> DataFrame:
     """s, p, pos, k, o, lang, dt of RDF/JSON: {subject: {predicate: [{type, value, lang, datatype}]}}; what is no JSON gives nothing."""
     shape = "map<string,map<string,array<struct<type:string,value:string,lang:string,datatype:string>>>>"
@@ -132,8 +192,8 @@ def parse_turtle(documents: DataFrame, column: str = "value") -> DataFrame:
     return flat.select(
         name(F.col("s")).alias("s"), name(F.col("p")).alias("p"), F.when(literal, "l").when(o.startswith("_:"), "b").otherwise("u").alias("k"),
         F.when(literal, _unescape(text)).otherwise(name(o)).alias("o"),
-        F.when(F.col("tail").startswith("@"), F.substring("tail", 2, 100)).alias("lang"),
-        F.when(F.col("tail").startswith("^^"), name(F.substring("tail", 3, 10_000))).alias("dt"),
+        F.when(F.col("tail").startswith("@"), F.regexp_replace("tail", "^@", "")).alias("lang"),
+        F.when(F.col("tail").startswith("^^"), name(F.regexp_replace("tail", r"^\^\^", ""))).alias("dt"),
     )
 
 

@@ -1,59 +1,34 @@
 """Composites kept fresh from a stream of changes.
 
-Every micro-batch of the change log (c, s, p) finds the composites it touches and makes them anew. The store is a folder of
-versions, one per batch; a batch that is run again writes the same version, so results are exactly once.
+Every micro-batch of the change log (c, s, p) finds the composites it touches and makes them anew. The store is a keyed table, of
+which a batch writes the buckets it touches as a version of its own; a batch that is run again makes the same version, so results
+are exactly once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.operators import impact
+from tessera.session import written
+from tessera.sources.keyed import KeyedTable
 
 
-class VersionedStore:
-    """A table of composites as a folder of whole versions; the highest finished one is the table."""
-
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(path):
-            return []
-        names = [PurePosixPath(str(s.getPath().toString())) for s in fs.listStatus(path)]
-        done = [n for n in names if n.name.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n.name}/_SUCCESS"))]
-        return sorted(int(n.name[1:]) for n in done)
-
-    def read(self, below: int | None = None) -> DataFrame:
-        """The newest version, or the newest before a number."""
-        found = [v for v in self._versions() if below is None or v < below]
-        if not found:
-            raise FileNotFoundError(self.folder)
-        return self.spark.read.parquet(f"{self.folder}/v{found[-1]:09d}")
-
-    def write(self, rows: DataFrame, version: int) -> None:
-        """rows as a version; written again it replaces what was there."""
-        rows.write.mode("overwrite").parquet(f"{self.folder}/v{version:09d}")
-
-
-def maintain(changes: DataFrame, store: VersionedStore, keys_of: Callable[[DataFrame, DataFrame], DataFrame], make: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def maintain(changes: DataFrame, store: KeyedTable, keys_of: Callable[[DataFrame, DataFrame], DataFrame], make: Callable[[DataFrame], DataFrame], checkpoint: str, keep: int = 10, **trigger: object) -> StreamingQuery:
     """A running query that refreshes the store for each batch of changes.
 
     keys_of(rows, batch) names the composites to refresh (root_r, root_c), make(keys) makes them. Version 0 of the store is
-    there before; batch n writes version n + 1 from the newest version before it. `checkpoint` is a folder that all executors
-    share.
+    there before; batch n makes version n + 1 from the newest version before it; the newest `keep` versions stay. `checkpoint` is
+    a folder that all executors share. trigger: as for writeStream, what there is at the moment without one.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         rows = store.read(below=number + 1)
-        keys = keys_of(rows, batch.distinct())
-        store.write(impact.refresh(rows, keys, make), number + 1)
+        keys = written(keys_of(rows, batch.distinct()), "keys")
+        store.replace(make(keys), keys.select(F.col("root_r").alias("r"), F.col("root_c").alias("c")), version=number + 1)
+        store.expire(keep)
 
-    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

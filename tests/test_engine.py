@@ -10,9 +10,12 @@ from tessera.functions.scalars import SpecError, Value
 from tessera.operators import adhoc, changes, composites, graphs, impact
 from tessera.plans import compiler, specs
 from tessera.plans.filters import FilterError, document_filter, with_context
+from tessera.operators.store import Hook, SaveError, Store
+from tessera.plans.config import Config, ConfigError
 from tessera.sources import rdf
+from tessera.sources.keyed import ConflictError, KeyedTable
 from tessera.sources.pods import PROPS, PropsPod, from_json, to_json
-from tessera.streaming.maintain import VersionedStore, maintain
+from tessera.streaming.maintain import maintain
 
 G = "g"
 
@@ -203,8 +206,8 @@ def test_json_documents(spark, pods):
 
 def test_refresh_from_a_stream(spark, pods, ns, tmp_path):
     """Batches of changes leave the store as a full recomputation would."""
-    store = VersionedStore(spark, str(tmp_path / "store"))
-    store.write(compiler.table(TABLE, pods, ns), 0)
+    store = KeyedTable(spark, str(tmp_path / "store"), 4)
+    store.create(compiler.table(TABLE, pods, ns))
     renamed = pod(spark, p1=[("rdf:type", "u", "ex:Person"), ("ex:name", "l", "Anna"), ("ex:knows", "u", "ex:p2")], p2=[("rdf:type", "u", "ex:Person"), ("ex:name", "l", "Bo")])
     after = {**pods, "people": renamed}
     spark.createDataFrame([(G, "ex:p1", "ex:name"), (G, "ex:b2", "ex:other")], "c string, s string, p string").write.parquet(str(tmp_path / "changes"))
@@ -217,7 +220,7 @@ def test_refresh_from_a_stream(spark, pods, ns, tmp_path):
         return found
 
     maintain(stream, store, keys_of, lambda k: compiler.table(TABLE, after, ns, only=k), str(tmp_path / "checkpoint")).awaitTermination(120)
-    assert keys == ["ex:b1"] and sorted(map(str, store.read().collect())) == sorted(map(str, compiler.table(TABLE, after, ns).collect()))
+    assert set(keys) == {"ex:b1"} and sorted(map(str, store.read().collect())) == sorted(map(str, compiler.table(TABLE, after, ns).collect()))
     assert composites.delete_by_keys(store.read(), spark.createDataFrame([("ex:b1", G)], "r string, c string")).count() == 1
 
 
@@ -238,3 +241,95 @@ def test_list_values_of_a_long_list(spark):
         assert got == [(k + 1, f"v{k}") for k in range(count)]
     with pytest.raises(ValueError, match="tail"):
         graphs.list_values(triples(20, "_:l5"), "_:l0")
+
+
+def test_keyed_tables(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(x, "r string, c string, v int")
+    table = KeyedTable(spark, str(tmp_path / "t"), 4)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    table.create(rows(*[(f"s{n}", G, n) for n in range(20)]))
+    assert table.replace(rows(("s1", G, 100), ("new", G, 7)), rows(("s1", G, 0), ("s2", G, 0)).select("r", "c"), expected=0) == 1
+    got = {r.r: r.v for r in table.read().collect()}
+    assert got == {f"s{n}": n for n in range(20) if n != 2} | {"s1": 100, "new": 7} and table.read(below=1).count() == 20
+    with pytest.raises(ConflictError):
+        table.replace(rows(("s3", G, 1)), rows(("s3", G, 1)).select("r", "c"), expected=0)
+    # The same batch again gives the same version.
+    for _ in range(2):
+        table.replace(rows(("s4", G, 44)), rows(("s4", G, 1)).select("r", "c"), version=5)
+    assert table.versions() == [0, 1, 5] and {r.r: r.v for r in table.read().collect()} == got | {"s4": 44}
+    table.replace(rows().limit(0) if False else spark.createDataFrame([], "r string, c string, v int"), table.read().select("r", "c"))
+    assert table.read().count() == 0 and table.read(below=6).count() == 20
+    table.expire(1)
+    assert table.versions() == [6] and table.read().columns == ["r", "c", "v"]
+
+
+def test_configurations():
+    good = {"defaultContext": G, "data_sources": {"d": {}}, "transaction_log": {"data_source": "d"}, "stores": {"s": {"data_source": "d", "pods": {"books": {"cardinality": {"ex:by": 1}}}, "table_specifications": [{**TABLE, "_id": "t"}]}}}
+    good["stores"]["s"]["pods"]["people"] = {}
+    config = Config.of(good, "max")
+    assert Config.of(config.serialised() and good).store("s").single("books") == ["ex:by"] and config.store("s").types("table") == ["ex:Book"]
+    for member in good:
+        with pytest.raises(ConfigError, match=member):
+            Config.of({k: v for k, v in good.items() if k != member})
+    store = good["stores"]["s"]
+    bad = ({"data_source": "none"}, {"pods": {"books": {"cardinality": {"ex:by": 2}}, "people": {}}}, {"table_specifications": [store["table_specifications"][0]] * 2}, {"table_specifications": [{"_id": "t", "type": "ex:Book", "from": "nowhere", "fields": []}]})
+    for change in bad:
+        with pytest.raises(ConfigError):
+            Config.of({**good, "stores": {"s": {**store, **change}}})
+    inside = {**good, "stores": {"s": {**store, "table_specifications": [{"_id": "t", "type": "ex:Book", "from": "books", "fields": [{"fieldName": "x"}]}]}}}
+    assert Config.of(inside)
+    with pytest.raises(ConfigError):
+        Config.of(inside, "max")
+
+
+def test_hooks_that_fail_are_counted(spark, tmp_path):
+    class Bad(Hook):
+        def pre(self, save):
+            raise ValueError("no")
+
+        def success(self, save):
+            told.append(save["description"])
+
+        def failure(self, save, error):
+            told.append(str(error))
+
+    told = []
+    config = Config.of({"defaultContext": G, "data_sources": {"d": {}}, "transaction_log": {"data_source": "d"}, "stores": {"s": {"data_source": "d", "pods": {"books": {"cardinality": {"ex:by": 1}}}}}})
+    store = Store(spark, config, "s", str(tmp_path / "s"), hooks=[Bad()], buckets=2)
+    triples = lambda *x: spark.createDataFrame(x, "s string, p string, k string, o string")
+    none = spark.createDataFrame([], "s string, p string, k string, o string")
+    store.save("books", none, triples(("ex:a", "ex:by", "u", "ex:p1")), description="first")
+    assert store.pod("books").triples().count() == 1 and store.statistics.counts["hook.pre.failed"] == 1
+    with pytest.raises(SaveError):
+        store.save("books", none, triples(("ex:a", "ex:by", "u", "ex:p1"), ("ex:a", "ex:by", "u", "ex:p2")), description="second")
+    assert told[0] == "first" and "ex:by" in told[1] and store.pod("books").triples().count() == 1
+
+
+def test_graph_additions(spark):
+    rows = spark.createDataFrame([("ex:q", "rdf:_1", 0, "u", "ex:a"), ("ex:q", "rdf:_3", 0, "u", "ex:b"), ("ex:a", "ex:name", 0, "l", "city"), ("ex:a", "ex:name", 1, "l", "Ort")], "s string, p string, pos int, k string, o string")
+    new = spark.createDataFrame([("ex:a", "ex:name", 0, "l", "city"), ("ex:a", "ex:see", 0, "u", ""), ("ex:a", "ex:see", 0, "u", "ex:b")], "s string, p string, pos int, k string, o string")
+    assert graphs.add(rows, new).count() == 5
+    with pytest.raises(graphs.TripleError):
+        graphs.add(rows, new.withColumn("s", graphs.F.lit("no name")))
+    got = graphs.insert_in_sequence(rows, "ex:q", 2, "u", "ex:new").where("s = 'ex:q'").orderBy("p").collect()
+    assert [(r.p, r.o) for r in got] == [("rdf:_1", "ex:a"), ("rdf:_2", "ex:new"), ("rdf:_3", "ex:b")]
+    assert sorted(r.o for r in graphs.replace_values(rows, "ex:a", "ex:name", "l", ["town"]).where("p = 'ex:name'").collect()) == ["town"]
+    assert sorted(r.o for r in graphs.replace_literal(rows, "ex:a", "ex:name", "Ort", "lieu").where("p = 'ex:name'").collect()) == ["city", "lieu"]
+    assert [r.label for r in graphs.plural_label(rows, ["ex:name"], []).where("r = 'ex:a'").collect()] == ["cities"]
+
+
+def test_text_of_graphs(spark, ns):
+    rows = spark.createDataFrame([("g", "ex:a", "ex:n", "l", "é \u0001 \U0001f600 \"q\" \\ \n<&"), ("g", "ex:a", "ex:m", "u", "ex:b"), ("g", "just text", "ex:m", "u", "ex:b")], "c string, s string, p string, k string, o string")
+    lines = [r.value for r in rdf.to_lines(rows, ns, quads=True, ascii_only=True).collect()]
+    assert len(lines) == 2 and '"\\u00E9 \\u0001 \\U0001F600 \\"q\\" \\\\ \\n<&"' in lines[0], lines
+    back = rdf.parse_lines(spark.createDataFrame([(x,) for x in lines], "value string")).where("k = 'l'").first()
+    assert back.o.startswith("é ") and "\U0001f600" in back.o
+    turtle = "\n".join(r.value for r in rdf.to_turtle(rows.where("s = 'ex:a'"), ns).collect())
+    again = rdf.parse_turtle(spark.createDataFrame([(turtle,)], "value string"))
+    assert again.count() == 2 and {r.k for r in again.collect()} == {"u", "l"}
+    import xml.dom.minidom
+
+    xml_text = "\n".join(r.value for r in rdf.to_rdf_xml(rows.where("s = 'ex:a'").withColumn("o", graphs.F.regexp_replace("o", "\u0001", "")), ns).orderBy("place").collect())
+    assert len(xml.dom.minidom.parseString(xml_text).getElementsByTagName("rdf:Description")) == 1
+    assert [r.prefix for r in rdf.suggest_prefixes(spark.createDataFrame([("http://a.example/terms/",), ("http://b.example/ns#",), ("http://c.example/ex/",)], "namespace string"), ns).orderBy("namespace").collect()] == ["terms", "ns", "ex1"]
