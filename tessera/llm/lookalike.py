@@ -176,8 +176,13 @@ def _syllables(text: Column) -> Column:
 
 
 def consistent(text: Column, alike: dict[str, str]) -> Column:
-    """mapped() without invisible characters: the form in which texts can be compared under the collation."""
-    return F.regexp_replace(mapped(text, alike), f"[{INVISIBLE}]+", "")
+    """text without invisible characters, with widths, blanks and joined letters in one form, and with look-alike letters as Latin
+    ones in words that have Latin letters; words of another script stay in it."""
+    inside = f"(?=[^\\x00-\\xff])[{_ranges(map(ord, alike))}]"
+    word = F.lit(r"([\p{L}\p{M}]+|[^\p{L}\p{M}]+)")
+    one = lambda t: F.when(t.rlike("[A-Za-z]"), F.translate(t, *_as_translation(alike))).otherwise(t)
+    words = lambda x: F.when(x.rlike(inside), F.array_join(F.transform(F.regexp_extract_all(x, word, F.lit(1)), one), "")).otherwise(x)
+    return let(F.regexp_replace(_mapped(text, _widths()), f"[{INVISIBLE}]+", ""), words)
 
 
 def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -195,8 +200,8 @@ def classes(documents: DataFrame, key: str = "doc_id", text: str = "text") -> tu
     variants = narrow.groupBy("sig", "exact").agg(F.min("_key").alias("_key"))
     several = variants.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     candidates = written(variants.join(several, "sig", "left_semi"), "candidates")
-    form = F.collate(mapped(F.col("_text"), letters), COLLATION)
-    texts = candidates.join(rows, "_key").select("sig", "exact", "_key", "_text", form.alias("form"))
+    texts = written(candidates.join(rows, "_key").select("sig", "exact", "_key", "_text"), "texts")
+    texts = texts.withColumn("form", F.collate(mapped(F.col("_text"), letters), COLLATION))
     best = F.min_by("_key", F.struct(F.octet_length("_text"), F.col("_text")))
     canonical = texts.groupBy("sig", "form").agg(best.alias("class_id"), F.count_distinct("exact").alias("n")).where("n > 1").select("sig", "form", "class_id")
     of_variant = written(texts.join(canonical, ["sig", "form"]).select("sig", "exact", "class_id"), "variants")

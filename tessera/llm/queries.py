@@ -129,5 +129,4 @@ SQL = {
     "p6_terms": _P6 + "SELECT * FROM marked",
     "p9_found": _p9_sql("SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text"),
     "p9_classes": _p9_sql(_P9_CLASSES + " SELECT doc_id, class_id, documents, texts FROM forms JOIN classes USING (form)"),
-    "p9_texts": _p9_sql(_P9_CLASSES + " SELECT f.doc_id AS doc_id, class_id, coalesce(g.form, f.form) AS text FROM forms f LEFT JOIN classes USING (form) LEFT JOIN forms g ON g.doc_id = class_id UNION ALL SELECT doc_id, NULL, text FROM documents WHERE text IS NULL OR text = ''"),
 }

@@ -34,13 +34,13 @@ def titles(resources: DataFrame, searchdata: DataFrame, ns: Namespaces) -> DataF
     return both.where(F.size(F.coalesce("titles", F.array().cast("array<string>"))) > 0)
 
 
-def term_counts(documents: DataFrame) -> DataFrame:
+def term_counts(documents: DataFrame, salts: int = SALTS) -> DataFrame:
     """term, occurrences, records of each distinct term of documents (source, record, titles).
 
-    Null titles hold no terms; an empty table has none. Equal in content to grouping all (term, record) pairs.
+    salts: into how many counters by record each term is split. Null titles hold no terms; an empty table has none. Equal in content to grouping all (term, record) pairs.
     """
     words = documents.select("source", "record", F.explode("titles").alias("title")).select("source", "record", F.explode(tokens(F.col("title"))).alias("term"))
-    salted = words.withColumn("salt", F.pmod(F.hash("source", "record"), F.lit(SALTS)))
+    salted = words.withColumn("salt", F.pmod(F.hash("source", "record"), F.lit(salts)))
     seen = Window.partitionBy("term", "salt").orderBy("source", "record")
     here = F.struct("source", "record")
     new = F.when(F.lag(here).over(seen).eqNullSafe(here), 0).otherwise(1)

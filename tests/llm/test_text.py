@@ -92,6 +92,8 @@ def test_lookalikes_equal_brute_force(spark):
     assert {5, 6, 20, 21, 24, 25}.isdisjoint(classes) and classes[22] == classes[23], classes
     texts = {r.doc_id: r.text for r in lookalike.canonical_texts(rows.where("doc_id IS NOT NULL"), members).collect()}
     assert len(texts) == len(LOOKS) and len({texts[n] for n in range(5)}) == 1 and texts[20] is None
+    kept = spark.createDataFrame([(1, "Ο καιρός, сafé\u200b ｘ\ufb01 Мoscow и Москва"), (None, "ﬁ")], "doc_id bigint, text string")
+    assert {r.text for r in lookalike.canonical_texts(kept, members).collect()} == {"Ο καιρός, café xfi Moscow и Москва", "fi"}
     empty = lookalike.classes(rows.limit(0))
     assert lookalike.pairs(*empty).count() == 0
 
