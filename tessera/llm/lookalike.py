@@ -240,7 +240,7 @@ def canonical_texts(documents: DataFrame, members: DataFrame, key: str = "doc_id
     rows = documents.select(key, F.col(text).alias("text"))
     keyed = rows.where(F.col(key).isNotNull())
     alone = keyed.join(members.select(key), key, "left_anti").unionByName(rows.where(F.col(key).isNull()))
-    held = keyed.join(members.select(F.col("class_id").alias(key)).distinct(), key, "left_semi").select(F.col(key).alias("class_id"), "text")
-    classed = members.select(key, "class_id").join(held, "class_id").select(key, "class_id", "text")
+    held = keyed.join(members.select(F.col("class_id").alias(key)).distinct(), key, "left_semi").select(F.col(key).alias("class_id"), F.col("text").alias("_canonical"))
+    classed = keyed.join(members.select(key, "class_id"), key).join(held, "class_id", "left").select(key, "class_id", F.coalesce("_canonical", "text").alias("text"))
     every = classed.unionByName(alone.select(key, F.lit(None).cast(members.schema["class_id"].dataType).alias("class_id"), "text"))
     return every.select(key, "class_id", consistent(F.col("text"), letters).alias("text"))
