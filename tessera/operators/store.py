@@ -342,14 +342,16 @@ class Store:
         short = lambda c: self.ns.alias(F.col(c))
         rows = flat.select(F.coalesce(short("g"), F.lit(self.context)).alias("c"), short("s").alias("s"), short("p").alias("p"), F.lit(0).alias("pos"), F.when(F.col("k") == "l", "l").otherwise("u").alias("k"), F.when(F.col("k") == "l", F.col("o")).otherwise(short("o")).alias("o"))
         if types is not None:
-            wanted = sorted({x for t in types for x in (t, self.ns.full(t))})
-            rows = rows.join(rows.where((F.col("p") == "rdf:type") & F.col("o").isin(wanted)).select("c", "s").distinct(), ["c", "s"], "left_semi")
-        self.merge(pod, written(rows, "lines"), now)
+            wanted = sorted({self.ns.full(t) for t in types})
+            rows = written(rows, "lines")  # parsed once, and the join's conditions stay out of the parser
+            rows = rows.join(rows.where((F.col("p") == "rdf:type") & self.ns.expand(F.col("o")).isin(wanted)).select("c", "s").distinct(), ["c", "s"], "left_semi")
+        self.merge(pod, rows, now)
 
     def merge(self, pod: str, triples: DataFrame, now: datetime | None = None) -> None:
         """Triples (c, s, p, pos, k, o) added to the descriptions of a pod; equal values count once, those there stay first."""
         at = now or datetime.now(timezone.utc).replace(tzinfo=None)
         table = self.descriptions(pod)
+        triples = written(triples.select("c", "s", "p", "pos", "k", "o"), "merged")
         keys = triples.select(F.col("s").alias("r"), "c").distinct()
         old = table.read().join(keys, ["r", "c"], "left_semi") if table.newest() is not None else self.spark.createDataFrame([], DESCRIPTIONS)
         every = PropsPod(old).triples().select("c", "s", "p", "pos", "k", "o").unionByName(triples.select("c", "s", "p", (F.col("pos") + 1_000_000).alias("pos"), "k", "o"))

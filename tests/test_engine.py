@@ -306,6 +306,34 @@ def test_hooks_that_fail_are_counted(spark, tmp_path):
     assert told[0] == "first" and "ex:by" in told[1] and store.pod("books").triples().count() == 1
 
 
+def test_load_reads_its_lines_once(spark, tmp_path):
+    ex, kind = "http://example.org/ns/", "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
+    config = Config.of({"defaultContext": G, "namespaces": {"ex": ex, "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#"}, "data_sources": {"d": {}}, "transaction_log": {"data_source": "d"}, "stores": {"s": {"data_source": "d", "pods": {"books": {}}}}})
+    store = Store(spark, config, "s", str(tmp_path / "s"), buckets=2)
+    texts = [f"<{ex}a> {kind} <{ex}Book> .", f'<{ex}a> <{ex}name> "A" .', f"<{ex}b> {kind} <{ex}Map> .", f'<{ex}b> <{ex}name> "B" .', f"<{ex}a> <{ex}by> _:x <{ex}g> .", "# none"]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    given = lambda rows, schema: spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    lines = given([(x,) for x in texts], "value string")
+    store.load("books", lines, ["ex:Book"])
+    assert read.value == len(texts)
+    store.load("books", lines, [ex + "Book"])
+    assert read.value == 2 * len(texts)
+    a = {("ex:a", "rdf:type", "u", "ex:Book"), ("ex:a", "ex:name", "l", "A")}
+    held = lambda: sorted((r.s, r.p, r.k, r.o) for r in store.pod("books").triples().collect())
+    assert held() == sorted(a) and [r._version for r in store.descriptions("books").read().collect()] == [1]
+    store.load("books", lines)
+    b = {("ex:b", "rdf:type", "u", "ex:Map"), ("ex:b", "ex:name", "l", "B")}
+    assert read.value == 3 * len(texts) and held() == sorted(a | b | {("ex:a", "ex:by", "u", "_:x")})
+    store.merge("books", given([(G, "ex:c", "ex:name", 0, "l", "C")], "c string, s string, p string, pos int, k string, o string"))
+    assert read.value == 3 * len(texts) + 1 and ("ex:c", "ex:name", "l", "C") in held()
+
+
 def test_graph_additions(spark):
     rows = spark.createDataFrame([("ex:q", "rdf:_1", 0, "u", "ex:a"), ("ex:q", "rdf:_3", 0, "u", "ex:b"), ("ex:a", "ex:name", 0, "l", "city"), ("ex:a", "ex:name", 1, "l", "Ort")], "s string, p string, pos int, k string, o string")
     new = spark.createDataFrame([("ex:a", "ex:name", 0, "l", "city"), ("ex:a", "ex:see", 0, "u", ""), ("ex:a", "ex:see", 0, "u", "ex:b")], "s string, p string, pos int, k string, o string")
